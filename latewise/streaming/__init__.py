@@ -1,0 +1,5 @@
+"""No streaming operator is owed: every input is a finite table.
+
+The projections in ``latewise.functions`` and the scoring of fitted models are stateless, so they run on
+a streaming DataFrame as they are; ``tests/test_plans.py`` shows it.
+"""
