@@ -28,10 +28,10 @@ def variance_filter(df: DataFrame, cols: list[str] | None = None, threshold: flo
 
 
 def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """(place, column, f) of the one-way F test of every column against the label.
+    """(place, column, f, variance) of the one-way F test of every column against the label.
 
-    One grouped pass gives count, mean and population variance per class; both sums of squares follow
-    from them without subtracting large numbers. Infinite if classes differ and do not vary inside,
+    One grouped pass gives count, mean and population variance per class; both sums of squares, and
+    with them the variance over all rows, follow without subtracting large numbers. Infinite if classes differ and do not vary inside,
     NaN for a constant column.
     """
     stats = df.groupBy(F.col(label).alias("class")).agg(
@@ -59,7 +59,8 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
             F.col("between") * (F.col("total") - F.col("k")), F.col("within") * (F.col("k") - 1)
         ))
     )
-    return sums.select("place", "column", f.alias("f"))
+    variance = (F.col("between") + F.col("within")) / F.col("total")
+    return sums.select("place", "column", f.alias("f"), variance.alias("variance"))
 
 
 def rank_columns(scores: DataFrame) -> DataFrame:
@@ -106,8 +107,9 @@ def select_features(
     Columns in ``exclude`` (for example ones that give the label away) take no part.
     """
     cols = numeric_columns(df, [label, *keep, *exclude])
-    cols = variance_filter(df, cols, threshold)
-    if not cols:
+    # One pass serves both steps: the F test also yields the variance of every column.
+    scores = anova_f(df, cols, label).filter(F.col("variance") > threshold)
+    best = rank_columns(scores).filter(F.col("rank") <= k).orderBy("place").collect()
+    if not best:
         raise ValueError("no column passes the variance filter")
-    cols = select_k_best(df, cols, label, min(k, len(cols)))
-    return df.select(*keep, *cols, label)
+    return df.select(*keep, *[r["column"] for r in best], label)
