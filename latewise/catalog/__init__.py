@@ -6,7 +6,7 @@ import importlib
 
 from latewise.catalog.registry import QUERIES, SQL, Query
 
-_MODULES = ["tables", "stats", "evaluation", "modelling"]
+_MODULES = ["tables", "stats", "evaluation", "modelling", "explaining"]
 
 
 def _load() -> None:
