@@ -20,7 +20,7 @@ from latewise.operators.models import NearestNeighbours, feature_importance, fit
 from latewise.operators.scale import Standardizer
 from latewise.operators.split import stratified_split
 from latewise.plans.binary import data_quality as quality_report
-from latewise.plans.binary import engineered, prepare_binary
+from latewise.plans.binary import engineered, materialize, prepare_binary
 from latewise.plans.experiment import run_ablation, run_models
 from latewise.plans.five_class import prepare_five_class
 from latewise.session import work_dir
@@ -150,7 +150,8 @@ def binary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with scaled numeric columns, the late label and a split column."""
     rows = stratified_split(order_items(spark, sf_dir, "row_key", *FEATURES, "late"), "late", "row_key")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in FEATURES})
-    return Standardizer.fit(rows.filter(F.col("split") == "train"), FEATURES).apply(rows)
+    table = Standardizer.fit(rows.filter(F.col("split") == "train"), FEATURES).apply(rows)
+    return materialize(table, "binary-splits")
 
 
 _FIVE_FEATURES = ["quantity", "line_number", "processing_days", "tax", "discount_rate"]
@@ -160,7 +161,8 @@ def five_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_items(spark, sf_dir, "row_key", *_FIVE_FEATURES, "stability")
     rows = stratified_split(rows, "stability", "row_key")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in _FIVE_FEATURES})
-    return Standardizer.fit(rows.filter(F.col("split") == "train"), _FIVE_FEATURES).apply(rows)
+    table = Standardizer.fit(rows.filter(F.col("split") == "train"), _FIVE_FEATURES).apply(rows)
+    return materialize(table, "five-splits")
 
 
 def parts(table: DataFrame, label: str, features: list[str]) -> dict[str, DataFrame]:

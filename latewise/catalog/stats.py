@@ -73,6 +73,9 @@ _LONG = f"""{S.ORDER_ITEMS}, long AS (
   ON COLUMNS(* EXCLUDE (row_key, late)) INTO NAME feature VALUE x),
 places AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate([*NUMERIC, "is_shipping_date_holiday"]))}) AS v(feature, place))"""
 
+_RANK = """row_number() OVER (ORDER BY isnan(f), CASE WHEN f > 0 AND NOT isinf(f)
+    THEN round(f / pow(10, floor(log10(f))), 9) * pow(10, floor(log10(f))) ELSE f END DESC, place DESC) AS rank"""
+
 _F = """per_class AS (
   SELECT feature, late, count(*)::DOUBLE AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY 1, 2),
 centre AS (SELECT feature, sum(n * m) / sum(n) AS c FROM per_class GROUP BY 1),
@@ -103,7 +106,7 @@ def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select_k_best", f"""
 WITH {_LONG}, {_F}
 SELECT feature AS "column", round(f, 4) + 0.0 AS f, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (ORDER BY isnan(f), f DESC, place DESC) AS rank FROM scores) WHERE rank <= 8""")
+  SELECT *, {_RANK} FROM scores) WHERE rank <= 8""")
 def select_k_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best columns with their scores."""
     rows = _numeric(spark, sf_dir, "late")
@@ -113,7 +116,7 @@ def select_k_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select_features", f"""
 WITH {_LONG}, passed AS (SELECT feature FROM long GROUP BY 1 HAVING var_pop(x) > 0.01), {_F}, best AS (
-  SELECT feature FROM (SELECT *, row_number() OVER (ORDER BY isnan(f), f DESC, place DESC) AS rank
+  SELECT feature FROM (SELECT *, {_RANK}
     FROM scores WHERE feature IN (SELECT feature FROM passed)) WHERE rank <= 6)
 SELECT late, feature, count(*) AS n, round(avg(x), 4) + 0.0 AS mean FROM long JOIN best USING (feature) GROUP BY 1, 2""")
 def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from latewise.functions import normalize_probs
 from latewise.operators.models.extra_trees import ExtraTrees
 from latewise.operators.models.knn import NearestNeighbours
-from latewise.sources.tables import to_xy
+from latewise.sources.tables import spread, to_xy
 
 
 def registry(n_train: int, n_classes: int, key: str = "row_key", seed: int = 42) -> dict:
@@ -78,6 +78,6 @@ def score(model, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def feature_importance(df: DataFrame, cols: list[str], label: str, trees: int = 100, top: int = 15, max_depth: int = 10, seed: int = 42) -> DataFrame:
     """The columns with the largest impurity importance in a random forest (importances sum to 1)."""
     forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
-    importances = forest.fit(to_xy(df, label, cols)).featureImportances.toArray().tolist()
+    importances = forest.fit(spread(to_xy(df, label, cols))).featureImportances.toArray().tolist()
     table = df.sparkSession.createDataFrame(list(zip(cols, importances)), "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(top)

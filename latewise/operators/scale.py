@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latewise.operators.select import column_stats
+
 
 @dataclass(frozen=True)
 class Standardizer:
@@ -16,12 +18,10 @@ class Standardizer:
 
     @staticmethod
     def fit(train: DataFrame, cols: list[str]) -> Standardizer:
-        """One aggregate for all columns."""
-        row = train.agg(*[
-            f(F.col(c).cast("double")).alias(f"{c}__{tag}")
-            for c in cols for tag, f in (("mean", F.avg), ("std", F.stddev_pop))
-        ]).first()
-        return Standardizer([(c, row[f"{c}__mean"], row[f"{c}__std"] or 1.0) for c in cols])
+        """One pass for all columns."""
+        rows = column_stats(train, cols).select("column", "mean", F.sqrt("var").alias("std")).collect()
+        fitted = {r["column"]: (r["mean"], r["std"] or 1.0) for r in rows}
+        return Standardizer([(c, *fitted[c]) for c in cols])
 
     def apply(self, df: DataFrame) -> DataFrame:
         """The parameters are literals of one projection; nothing is joined."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import UnivariateFeatureSelector
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewise.sources.tables import numeric_columns, to_xy
@@ -13,12 +15,35 @@ VARIANCE_THRESHOLD = 0.01
 BEST_K = 50
 
 
+def column_stats(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
+    """(class, n, place, column, mean, var): population statistics of all columns, per class if given.
+
+    One pass with the built-in vector summarizer, whose loop over the columns stays small however many
+    there are; a separate aggregate expression per column would outgrow what the JVM compiles. Nulls
+    are an error: fill them first.
+    """
+    label = F.col(by) if by else F.lit(0)
+    values = df.select(label.alias("class"), *[F.col(c).cast("double").alias(c) for c in cols])
+    vectors = VectorAssembler(inputCols=cols, outputCol="x", handleInvalid="error").transform(values)
+    stats = vectors.groupBy("class").agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("x")).alias("s"))
+    stats = stats.select(
+        "class", F.col("s.count").cast("double").alias("n"), vector_to_array("s.mean").alias("means"),
+        vector_to_array("s.variance").alias("vars"),
+    )
+    names = F.array(*[F.lit(c) for c in cols])
+    zipped = F.arrays_zip(names.alias("column"), F.col("means").alias("mean"), F.col("vars").alias("var"))
+    long = stats.select("class", "n", F.posexplode(zipped).alias("place", "z"))
+    # The summarizer divides by n - 1 and gives 0 for a single row.
+    return long.select(
+        "class", "n", "place", F.col("z.column").alias("column"), F.col("z.mean").alias("mean"),
+        (F.col("z.var") * (F.col("n") - 1) / F.col("n")).alias("var"),
+    )
+
+
 def variances(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, variance) with the population variance, in table order of the columns."""
-    cols = cols or numeric_columns(df)
-    row = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in cols])
-    pairs = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).alias("variance")) for i, c in enumerate(cols)]
-    return row.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    """(place, column, variance) with the population variance."""
+    stats = column_stats(df, cols or numeric_columns(df))
+    return stats.select("place", "column", F.col("var").alias("variance"))
 
 
 def variance_filter(df: DataFrame, cols: list[str] | None = None, threshold: float = VARIANCE_THRESHOLD) -> list[str]:
@@ -34,15 +59,7 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     with them the variance over all rows, follow without subtracting large numbers. Infinite if classes differ and do not vary inside,
     NaN for a constant column.
     """
-    stats = df.groupBy(F.col(label).alias("class")).agg(
-        F.count("*").cast("double").alias("n"),
-        F.array(*[F.avg(F.col(c).cast("double")) for c in cols]).alias("means"),
-        F.array(*[F.var_pop(F.col(c).cast("double")) for c in cols]).alias("vars"),
-    )
-    names = F.array(*[F.lit(c) for c in cols])
-    long = stats.select(
-        "n", F.posexplode(F.arrays_zip(names.alias("column"), F.col("means").alias("mean"), F.col("vars").alias("var"))).alias("place", "z")
-    ).select("place", F.col("z.column").alias("column"), "n", F.col("z.mean").alias("mean"), F.col("z.var").alias("var"))
+    long = column_stats(df, cols, label)
     per_column = Window.partitionBy("place")
     centred = long.withColumn("centre", F.sum(F.col("n") * F.col("mean")).over(per_column) / F.sum("n").over(per_column))
     sums = centred.groupBy("place", "column").agg(
@@ -63,9 +80,19 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     return sums.select("place", "column", f.alias("f"), variance.alias("variance"))
 
 
+def _ten_digits(f: Column) -> Column:
+    """The value to ten significant digits."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(f)))
+    return F.when((f > 0) & (f < float("inf")), F.round(f / scale, 9) * scale).otherwise(f)
+
+
 def rank_columns(scores: DataFrame) -> DataFrame:
-    """Add the rank by F score: NaN last, and of equal scores the later column first."""
-    order = Window.orderBy(F.isnan("f"), F.desc("f"), F.desc("place"))
+    """Add the rank by F score: NaN last, and of equal scores the later column first.
+
+    Scores that agree in ten digits count as equal: columns that are multiples of each other differ
+    only by rounding, which depends on the order in which partial sums meet.
+    """
+    order = Window.orderBy(F.isnan("f"), F.desc(_ten_digits(F.col("f"))), F.desc("place"))
     return scores.withColumn("rank", F.row_number().over(order))
 
 

@@ -56,23 +56,33 @@ class StratifiedSplit:
     def fit(
         df: DataFrame, label: str, key: str, test: float = 0.1, val: float = 0.1, seed: int = 42
     ) -> StratifiedSplit:
-        """Three passes over label and key only.
+        """Two passes over label and key only.
 
-        Class counts give the quotas. Counts per (class, hash prefix) tell in which prefix each quota
-        is used up, and only the rows of those few prefixes are ranked.
+        Counts per (class, hash prefix) give the quotas and tell in which prefix each quota is used up;
+        only the rows of those few prefixes are then ranked. The counts (at most 65,536 per class) are
+        held while both answers are read from them.
         """
         rows = df.select(F.col(label).alias("label"), _hash(key, seed).alias("hash"))
-        found = rows.groupBy("label").count().limit(MAX_CLASSES + 1).collect()
+        rows = rows.withColumn("prefix", F.substring("hash", 1, PREFIX))
+        cells = rows.groupBy("label", "prefix").agg(F.count("*").alias("n")).persist()
+        try:
+            return StratifiedSplit._from_cells(rows, cells, label, key, test, val, seed)
+        finally:
+            cells.unpersist()
+
+    @staticmethod
+    def _from_cells(
+        rows: DataFrame, cells: DataFrame, label: str, key: str, test: float, val: float, seed: int
+    ) -> StratifiedSplit:
+        found = cells.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
         if len(found) > MAX_CLASSES:
             raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is not a class label")
-        quotas = split_quotas({r["label"]: r["count"] for r in found}, test, val)
+        quotas = split_quotas({r["label"]: r["n"] for r in found}, test, val)
         ends = [(c, name, end) for c, (t, v) in quotas.items() for name, end in (("test", t), ("val", t + v)) if end > 0]
         if not ends:
             return StratifiedSplit(label, key, seed, {})
 
-        rows = rows.withColumn("prefix", F.substring("hash", 1, PREFIX))
         running = Window.partitionBy("label").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-        cells = rows.groupBy("label", "prefix").agg(F.count("*").alias("n"))
         cells = cells.withColumn("upto", F.sum("n").over(running))
         wanted = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(name).alias("part"), F.lit(end).cast("long").alias("end")) for c, name, end in ends])
         crossing = (
@@ -86,8 +96,9 @@ class StratifiedSplit:
             F.struct(F.lit(r["part"]).alias("part"), F.lit(r["need"]).alias("need"), F.lit(r["label"]).alias("c"), F.lit(r["prefix"]).alias("p"))
             for r in crossing
         ])
-        places = F.array(*[F.struct(F.lit(r["label"]).alias("c"), F.lit(r["prefix"]).alias("p")) for r in crossing])
-        in_place = F.exists(places, lambda p: (p["c"] == F.col("label")) & (p["p"] == F.col("prefix")))
+        in_place = F.lit(False)
+        for c in quotas:
+            in_place = in_place | ((F.col("label") == F.lit(c)) & F.col("prefix").isin([r["prefix"] for r in crossing if r["label"] == c]))
         rank = F.row_number().over(Window.partitionBy("label", "prefix").orderBy("hash"))
         last = (
             rows.filter(in_place).withColumn("rank", rank)

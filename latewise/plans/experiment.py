@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from latewise.operators.models.registry import score
 from latewise.operators.results import metrics_record
+from latewise.sources.tables import spread, to_xy
 
 
 def _failed(spark, model: str, error: Exception) -> DataFrame:
@@ -31,7 +32,7 @@ def run_models(
     if unknown:
         raise ValueError(f"unknown models: {', '.join(unknown)}; known are {', '.join(models)}")
     spark = train.sparkSession
-    train, test = train.persist(), test.persist()
+    train, test = spread(train).persist(), test.persist()
     records = None
     try:
         for place, name in enumerate(names):
@@ -63,8 +64,6 @@ def run_ablation(
     ``table`` has a ``split`` column; ``make_model`` gives a fresh estimator. Returns one record per
     variant; ``ablation_deltas`` compares them with "full".
     """
-    from latewise.sources.tables import to_xy
-
     variants = {"full": features, **{f"no_{g}": [c for c in features if c not in set(cols)] for g, cols in groups.items()}}
     names = list(variants) if names is None else list(names)
     unknown = [n for n in names if n not in variants]

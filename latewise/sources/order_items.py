@@ -8,76 +8,114 @@ adaptive execution splits skewed partitions otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latewise.functions import whole_days_between
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"]
-
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# Declared, so that planning a query does not start a job that opens file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-
-
-def _definitions() -> dict[str, tuple[set[str], Column]]:
-    c = F.col
-    elapsed = whole_days_between(c("o_orderdate"), c("l_shipdate"))
-    processing = F.pmod(elapsed, F.lit(10)) - 1
-    real = F.pmod(elapsed, F.lit(7))
-    scheduled = F.substring("o_orderpriority", 1, 1).cast("int") - 1
-    shipping = F.timestamp_add("DAY", processing, c("o_orderdate"))
-    row_key = F.concat_ws(
-        "|",
-        c("l_orderkey"), c("l_linenumber"), c("l_partkey"), c("l_suppkey"),
-        F.round(c("l_extendedprice") * 100).cast("long"),
-        F.unix_date(c("l_shipdate").cast("date")),
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def _elapsed() -> Column:
+    return whole_days_between(F.col("o_orderdate"), F.col("l_shipdate"))
+
+
+def _processing() -> Column:
+    return F.pmod(_elapsed(), F.lit(10)) - 1
+
+
+def _real() -> Column:
+    return F.pmod(_elapsed(), F.lit(7))
+
+
+def _scheduled() -> Column:
+    return F.substring("o_orderpriority", 1, 1).cast("int") - 1
+
+
+def _shipping() -> Column:
+    return F.timestamp_add("DAY", _processing(), F.col("o_orderdate"))
+
+
+def _row_key() -> Column:
+    return F.concat_ws(
+        "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.round(F.col("l_extendedprice") * 100).cast("long"), F.unix_date(F.col("l_shipdate").cast("date")),
     )
-    none, order, cust, part, supp = set(), {"orders"}, {"orders", "customer"}, {"part"}, {"supplier"}
-    place = {"orders", "customer", "nation", "region"}
-    return {
-        "row_key": (none, row_key),
-        "order_id": (none, c("l_orderkey")),
-        "order_item_id": (none, c("l_linenumber")),
-        "order_item_cardprod_id": (none, c("l_partkey")),
-        "product_card_id": (none, c("l_partkey")),
-        "supplier_id": (none, c("l_suppkey")),
-        "line_number": (none, c("l_linenumber")),
-        "customer_id": (order, c("o_custkey")),
-        "customer_fname": (cust, c("c_name")),
-        "order_date": (order, c("o_orderdate")),
-        "shipping_date": (order, shipping),
-        "order_date_dateorders": (order, F.date_format(c("o_orderdate"), DATE_FORMAT)),
-        "shipping_date_dateorders": (order, F.date_format(shipping, DATE_FORMAT)),
-        "processing_days": (order, processing),
-        "days_for_shipping_real": (order, real),
-        "days_for_shipment_scheduled": (order, scheduled),
-        "late": (order, F.when(real > scheduled, F.lit(1)).otherwise(F.lit(0))),
-        "order_item_product_price": (none, c("l_extendedprice")),
-        "product_price": (none, c("l_extendedprice") / 100),
-        "order_item_discount": (none, c("l_extendedprice") * c("l_discount")),
-        "order_profit_per_order": (none, c("l_extendedprice") * (F.lit(0.05) - c("l_discount"))),
-        "latitude_src": (supp, F.lit(-20.0) + F.lit(1.6) * c("s_nationkey")),
-        "longitude_src": (supp, F.lit(-30.0) + F.lit(2.5) * c("s_nationkey")),
-        "latitude_dest": (cust, F.lit(15.0) - F.lit(1.3) * c("c_nationkey")),
-        "longitude_dest": (cust, F.lit(35.0) - F.lit(2.1) * c("c_nationkey")),
-        "shipping_mode": (order, c("o_orderpriority")),
-        "order_status": (order, c("o_orderstatus")),
-        "customer_segment": (cust, c("c_mktsegment")),
-        "customer_country": (place, c("n_name")),
-        "market": (place, c("r_name")),
-        "department_name": (part, c("p_brand")),
-        "category_name": (part, c("p_type")),
-        "product_name": (part, c("p_name")),
-        "type": (none, c("l_returnflag")),
-        "delivery_status": (none, c("l_linestatus")),
-        "quantity": (none, c("l_quantity")),
-        "tax": (none, c("l_tax")),
-        "discount_rate": (none, c("l_discount")),
-        "stability": (none, F.pmod(c("l_quantity") + c("l_linenumber"), F.lit(5.0)).cast("int")),
-    }
+
+
+_NONE: set[str] = set()
+_ORDER, _PART, _SUPPLIER = {"orders"}, {"part"}, {"supplier"}
+_CUSTOMER = {"orders", "customer"}
+_PLACE = {"orders", "customer", "nation", "region"}
+
+# Column: (tables it needs besides lineitem, source column or expression).
+_DEFINITIONS: dict[str, tuple[set[str], str | Callable[[], Column]]] = {
+    "row_key": (_NONE, _row_key),
+    "order_id": (_NONE, "l_orderkey"),
+    "order_item_id": (_NONE, "l_linenumber"),
+    "order_item_cardprod_id": (_NONE, "l_partkey"),
+    "product_card_id": (_NONE, "l_partkey"),
+    "supplier_id": (_NONE, "l_suppkey"),
+    "line_number": (_NONE, "l_linenumber"),
+    "customer_id": (_ORDER, "o_custkey"),
+    "customer_fname": (_CUSTOMER, "c_name"),
+    "order_date": (_ORDER, "o_orderdate"),
+    "shipping_date": (_ORDER, _shipping),
+    "order_date_dateorders": (_ORDER, lambda: F.date_format("o_orderdate", DATE_FORMAT)),
+    "shipping_date_dateorders": (_ORDER, lambda: F.date_format(_shipping(), DATE_FORMAT)),
+    "processing_days": (_ORDER, _processing),
+    "days_for_shipping_real": (_ORDER, _real),
+    "days_for_shipment_scheduled": (_ORDER, _scheduled),
+    "late": (_ORDER, lambda: F.when(_real() > _scheduled(), F.lit(1)).otherwise(F.lit(0))),
+    "order_item_product_price": (_NONE, "l_extendedprice"),
+    "product_price": (_NONE, lambda: F.col("l_extendedprice") / 100),
+    "order_item_discount": (_NONE, lambda: F.col("l_extendedprice") * F.col("l_discount")),
+    "order_profit_per_order": (_NONE, lambda: F.col("l_extendedprice") * (F.lit(0.05) - F.col("l_discount"))),
+    "latitude_src": (_SUPPLIER, lambda: F.lit(-20.0) + F.lit(1.6) * F.col("s_nationkey")),
+    "longitude_src": (_SUPPLIER, lambda: F.lit(-30.0) + F.lit(2.5) * F.col("s_nationkey")),
+    "latitude_dest": (_CUSTOMER, lambda: F.lit(15.0) - F.lit(1.3) * F.col("c_nationkey")),
+    "longitude_dest": (_CUSTOMER, lambda: F.lit(35.0) - F.lit(2.1) * F.col("c_nationkey")),
+    "shipping_mode": (_ORDER, "o_orderpriority"),
+    "order_status": (_ORDER, "o_orderstatus"),
+    "customer_segment": (_CUSTOMER, "c_mktsegment"),
+    "customer_country": (_PLACE, "n_name"),
+    "market": (_PLACE, "r_name"),
+    "department_name": (_PART, "p_brand"),
+    "category_name": (_PART, "p_type"),
+    "product_name": (_PART, "p_name"),
+    "type": (_NONE, "l_returnflag"),
+    "delivery_status": (_NONE, "l_linestatus"),
+    "quantity": (_NONE, "l_quantity"),
+    "tax": (_NONE, "l_tax"),
+    "discount_rate": (_NONE, "l_discount"),
+    "stability": (_NONE, lambda: F.pmod(F.col("l_quantity") + F.col("l_linenumber"), F.lit(5.0)).cast("int")),
+}
+
+
+def _column(name: str) -> Column:
+    source = _DEFINITIONS[name][1]
+    return (F.col(source) if isinstance(source, str) else source()).alias(name)
 
 
 RAW_COLUMNS = [
@@ -92,9 +130,8 @@ RAW_COLUMNS = [
 
 def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of every order line (default: the raw input columns of the study)."""
-    definitions = _definitions()
     columns = columns or tuple(RAW_COLUMNS)
-    needed: set[str] = set().union(*(definitions[name][0] for name in columns))
+    needed: set[str] = set().union(*(_DEFINITIONS[name][0] for name in columns))
     lines = load(spark, sf_dir, "lineitem")
     if "orders" in needed:
         orders = load(spark, sf_dir, "orders")
@@ -112,7 +149,7 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if "supplier" in needed:
         supplier = load(spark, sf_dir, "supplier")
         lines = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey, "left")
-    return lines.select(*[definitions[name][1].alias(name) for name in columns])
+    return lines.select(*[_column(name) for name in columns])
 
 
 def binary_predictions(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
