@@ -82,8 +82,13 @@ def binary_points(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ovr_points(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per row and class: the class, its probability, and whether it is the true one."""
-    long = pred.select(*by, "y_true", F.posexplode("prob").alias("class", "score"))
+    """One row per row and class: the class, its probability, and whether it is the true one.
+
+    The outer form keeps the optimizer from testing the array for emptiness first, which would compute
+    the probabilities twice; rows without probabilities are dropped afterwards.
+    """
+    long = pred.select(*by, "y_true", F.posexplode_outer("prob").alias("class", "score"))
+    long = long.filter(F.col("class").isNotNull())
     return long.select(*by, "class", "score", F.when(F.col("class") == F.col("y_true"), 1).otherwise(0).alias("positive"))
 
 

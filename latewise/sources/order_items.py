@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latewise.functions import whole_days_between
+from latewise.functions import argmax, whole_days_between
 
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -60,7 +60,7 @@ def _shipping() -> Column:
 def _row_key() -> Column:
     return F.concat_ws(
         "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.round(F.col("l_extendedprice") * 100).cast("long"), F.unix_date(F.col("l_shipdate").cast("date")),
+        F.floor(F.col("l_extendedprice") * 100 + 0.5), F.unix_date(F.col("l_shipdate").cast("date")),
     )
 
 
@@ -168,10 +168,8 @@ def binary_predictions(spark: SparkSession, sf_dir: str, *extra: str) -> DataFra
     )
 
 
-def class_weights(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Row key, five-class label and one positive integer weight per class."""
-    base = order_items(spark, sf_dir, "row_key", "stability", "order_item_cardprod_id", "supplier_id", *extra)
-    weights = [
+def _weights() -> list[Column]:
+    return [
         (
             1
             + F.pmod(F.col("order_item_cardprod_id") * (k + 3) + F.col("supplier_id"), F.lit(97))
@@ -179,16 +177,21 @@ def class_weights(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         ).cast("double")
         for k in range(5)
     ]
-    return base.select("row_key", F.col("stability").alias("y_true"), F.array(*weights).alias("weights"), *extra)
+
+
+def class_weights(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Row key, five-class label and one positive integer weight per class."""
+    base = order_items(spark, sf_dir, "row_key", "stability", "order_item_cardprod_id", "supplier_id", *extra)
+    return base.select("row_key", F.col("stability").alias("y_true"), F.array(*_weights()).alias("weights"), *extra)
 
 
 def multi_predictions(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Scored rows of a five-class model: row_key, y_true, y_pred, prob (five entries)."""
-    from latewise.functions import argmax
-
-    rows = class_weights(spark, sf_dir, *extra)
-    total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
+    base = order_items(spark, sf_dir, "row_key", "stability", "order_item_cardprod_id", "supplier_id", *extra)
+    names = [f"w{k}" for k in range(5)]
+    rows = base.withColumns(dict(zip(names, _weights())))
+    total = sum((F.col(n) for n in names[1:]), F.col("w0"))
     return rows.select(
-        "row_key", "y_true", argmax(F.col("weights")).alias("y_pred"),
-        F.transform("weights", lambda w: w / total).alias("prob"), *extra,
+        "row_key", F.col("stability").alias("y_true"), argmax(F.array(*names)).alias("y_pred"),
+        F.array(*[F.col(n) / total for n in names]).alias("prob"), *extra,
     )
