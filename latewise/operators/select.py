@@ -23,9 +23,10 @@ def column_stats(df: DataFrame, cols: list[str], by: str | None = None) -> DataF
     are an error: fill them first.
     """
     label = F.col(by) if by else F.lit(0)
-    values = df.select(label.alias("class"), *[F.col(c).cast("double").alias(c) for c in cols])
-    vectors = VectorAssembler(inputCols=cols, outputCol="x", handleInvalid="error").transform(values)
-    stats = vectors.groupBy("class").agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("x")).alias("s"))
+    values = df.select(label.alias("_class"), *[F.col(c).cast("double").alias(c) for c in cols])
+    vectors = VectorAssembler(inputCols=cols, outputCol="_vector", handleInvalid="error").transform(values)
+    summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("_vector"))
+    stats = vectors.groupBy(F.col("_class").alias("class")).agg(summary.alias("s"))
     stats = stats.select(
         "class", F.col("s.count").cast("double").alias("n"), vector_to_array("s.mean").alias("means"),
         vector_to_array("s.variance").alias("vars"),
