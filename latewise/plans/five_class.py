@@ -20,12 +20,12 @@ def prepare_five_class(a: DataFrame, b: DataFrame, label: str, key: str | None =
     for part in (a, b):
         require_columns(part, [label])
     rows = fill_numeric(fill_leading(merge_dedup(a, b)), label)
-    rows = rows.filter(F.assert_true(F.col(label).isNotNull(), F.lit("a row has no label")).isNull())
+    given = F.coalesce(F.col(label).cast("long"), F.raise_error(F.lit("a row has no label")).cast("long"))
     if key is None:
         key = "row_key"
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
         rows = rows.withColumn(key, F.concat_ws("|", *parts))
-    rows = materialize(rows.withColumn(label, F.col(label).cast("long")), "merged")
+    rows = materialize(rows.withColumn(label, given), "merged")
     features = [c for c in rows.columns if c not in (label, key)]
     split = StratifiedSplit.fit(rows, label, key, seed=seed)
     rows = split.apply(rows)

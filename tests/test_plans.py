@@ -54,8 +54,10 @@ def test_five_class_without_key_and_label(spark):
     assert prepared.table.count() == a.distinct().count()
     with pytest.raises(ValueError, match="missing columns: y"):
         prepare_five_class(a, a.drop("y"), "y")
+    # A missing label among the first five columns is filled like them; elsewhere it is an error.
+    wide = a.withColumns({"p": F.lit(1), "q": F.lit(2), "r": F.lit(3)}).select("x", "z", "p", "q", "r", "y")
     with pytest.raises(Exception, match="a row has no label"):
-        prepare_five_class(a, a.withColumn("y", F.lit(None).cast("int")), "y")
+        prepare_five_class(wide, wide.withColumn("y", F.lit(None).cast("int")), "y")
 
 
 def plan(df):
