@@ -113,11 +113,11 @@ class StratifiedSplit:
         return StratifiedSplit(label, key, seed, limits)
 
     def apply(self, df: DataFrame, out: str = "split") -> DataFrame:
-        value = _hash(self.key, self.seed)
-        return df.withColumn(
-            out,
-            F.when(value <= self._limit("test"), "test").when(value <= self._limit("val"), "val").otherwise("train"),
-        )
+        # A column of its own, so that the hash is computed once for both comparisons.
+        hashed = df.withColumn("_hash", _hash(self.key, self.seed))
+        value = F.col("_hash")
+        part = F.when(value <= self._limit("test"), "test").when(value <= self._limit("val"), "val").otherwise("train")
+        return hashed.withColumn(out, part).drop("_hash")
 
     def _limit(self, part: str) -> Column:
         known = {c: parts[part] for c, parts in self.limits.items() if part in parts}

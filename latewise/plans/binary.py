@@ -18,6 +18,9 @@ from latewise.session import work_dir
 from latewise.sources.tables import numeric_columns
 
 
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class Prepared:
     """The scaled table (key, features, label, split) with what was fitted on the way."""
@@ -35,10 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared work folder and read back.
 
     The fitting passes that follow read single columns of the result instead of repeating the joins,
-    and a lost executor costs no more than re-reading its files.
+    and a lost executor costs no more than re-reading its files. Row groups are kept small enough that
+    several tasks can share a file when the source had few splits.
     """
     path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
