@@ -1,0 +1 @@
+"""Registered queries, one module for each operator."""
