@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latewise.llm.registry import QUERIES, SQL
 
-_MODULES = ["chat", "sharding", "warc"]
+_MODULES = ["chat", "quality", "sharding", "warc"]
 
 
 def _load() -> None:
