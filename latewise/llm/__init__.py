@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latewise.llm.registry import QUERIES, SQL
 
-_MODULES = ["chat", "quality", "sharding", "simhash", "warc"]
+_MODULES = ["bpe", "chat", "quality", "sharding", "simhash", "warc"]
 
 
 def _load() -> None:
