@@ -1,0 +1,18 @@
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latewise.llm.decontaminate import find_passages
+from latewise.llm.registry import query, table
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all windows of ten words of the benchmark."""
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
