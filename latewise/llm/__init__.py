@@ -14,7 +14,7 @@ _MODULES = ["bpe", "chat", "decontaminate", "quality", "sharding", "simhash", "w
 
 def _load() -> None:
     for name in _MODULES:
-        importlib.import_module(f"latewise.llm.queries.{name}")
+        importlib.import_module(f"latewise.llm.registered.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,6 +28,8 @@ from latewise.llm.work import written
 
 VERSION, CRLF, END = "WARC/1.1", "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Where a record ends and the next begins.
+MARK = (END + VERSION + CRLF).encode()
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -100,7 +102,7 @@ RECORDS = (
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records; ``payloads=False`` keeps size and digest of each payload, not its bytes."""
-    lines = spark.read.option("lineSep", END + VERSION + CRLF).text(path)
+    lines = spark.read.option("lineSep", MARK.decode()).text(path)
     return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(_Parser(payloads), RECORDS)
 
 
@@ -121,22 +123,31 @@ class _Parser:
             out = []
             for piece in batch.column(0).to_pylist():
                 held.append(piece)
-                if (found := self._complete(held)) is not None:
-                    out.append(found)
-                    held = []
+                found, rest = self._complete(held[0] if len(held) == 1 else MARK.join(held))
+                out += found
+                held = [rest] if rest else []
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if held:
             raise ValueError(f"a record ends before its Content-Length: {held[0][:200]!r}")
 
-    def _complete(self, held: list[bytes]) -> dict | None:
-        raw = held[0] if len(held) == 1 else (END + VERSION + CRLF).encode().join(held)
-        head, _, block = raw.removeprefix((VERSION + CRLF).encode()).partition(END.encode())
-        header = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split(CRLF))
-        length = int(header["Content-Length"])
-        if len(block) < length:
-            return None
-        block, kind = block[:length], header["WARC-Type"]
-        payload, fields = None, None
+    def _complete(self, raw: bytes) -> tuple[list[dict], bytes]:
+        """The complete records at the begin, and what is left of an incomplete one.
+
+        The reader can miss a mark where its buffer ends amid blank lines, so a piece can hold several records.
+        """
+        found = []
+        while raw:
+            head, _, block = raw.removeprefix(MARK[len(END) :]).partition(END.encode())
+            header = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split(CRLF))
+            length = int(header["Content-Length"])
+            if len(block) < length:
+                break
+            found.append(self._record(header, block[:length]))
+            raw = block[length:].removeprefix(END.encode())
+        return found, raw
+
+    def _record(self, header: dict[str, str], block: bytes) -> dict:
+        kind, payload, fields = header["WARC-Type"], None, None
         if kind == "response":
             payload = block.partition(END.encode())[2]
         elif kind == "metadata":
