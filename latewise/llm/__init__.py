@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latewise.llm.registry import QUERIES, SQL
 
-_MODULES = ["bpe", "chat", "decontaminate", "quality", "sharding", "simhash", "warc"]
+_MODULES = ["bpe", "chat", "decontaminate", "lm", "quality", "sharding", "simhash", "warc"]
 
 
 def _load() -> None:
