@@ -18,7 +18,7 @@ class Shape:
     Inputs are those words, ``hashed`` buckets for the others, and one mark for the begin of a text.
     """
 
-    classes: int = 48
+    classes: int = 32
     members: int = 32
     hidden: int = 16
     hashed: int = 512
@@ -167,9 +167,9 @@ def score_texts(p: Params, shape: Shape, texts: list[np.ndarray], n_lanes: int =
 class Trainer:
     """Adagrad on windows of ``steps``; the state goes on, gradients stop at the window's begin."""
 
-    def __init__(self, p: Params, shape: Shape, rate: float = 0.1, n_lanes: int = 256, steps: int = 16) -> None:
+    def __init__(self, p: Params, shape: Shape, rate: float = 0.2, n_lanes: int = 256, steps: int = 16) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
-        self.seen = {k: np.full_like(v, 1e-4) for k, v in p.items()}
+        self.seen = {k: np.full_like(v, 1e-6) for k, v in p.items()}
         self.shape, self.rate, self.n_lanes, self.steps, self.tokens = shape, rate, n_lanes, steps, 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
@@ -182,8 +182,8 @@ class Trainer:
         p, grad, keep = self.p, {}, []
         states = _steps(p, x, self.shape.begin, h, keep)
         _, dh_real = _outputs(p, self.shape, states[real], y[real], grad)
-        n_real = len(dh_real)
-        self.tokens += n_real
+        full = self.n_lanes * self.steps  # windows in which few lanes still run count for less
+        self.tokens += len(dh_real)
         d_states = np.zeros_like(states)
         d_states[real] = dh_real
         n, recur = self.shape.hidden, np.zeros_like(p["recur"])
@@ -202,12 +202,12 @@ class Trainer:
             back = (dh * z + dg @ p["recur"].T) * carried
         grad["recur"] = recur
         for k, g in grad.items():
-            self._step(k, slice(None), g / n_real)
+            self._step(k, slice(None), g / full)
         order = np.argsort(x, axis=None, kind="stable")
         rows = x.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         sums = np.add.reduceat(d_given.reshape(-1, 3 * n)[order], first, axis=0)
-        self._step("table", rows[first], sums / n_real)
+        self._step("table", rows[first], sums / full)
         return states[-1]
 
     def _step(self, name: str, at, g: np.ndarray) -> None:

@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +116,21 @@ class _Coder:
     """Words to input codes: own words, or a hash bucket for all others."""
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.shape, self.own = lexicon.shape, {w: i for i, w in enumerate(lexicon.own)}
+        self.shape, self.index = lexicon.shape, lexicon.index()
+        self.code = np.array([*range(self.shape.words), *(
+            self._bucket(w) for w in list(self.index)[len(lexicon.own) :]
+        )], dtype=np.int32)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        own, first, n = self.own.get, self.shape.words, self.shape.hashed
-        return np.array([i if (i := own(w)) is not None else first + zlib.crc32(w) % n for w in words], dtype=np.int32)
+    def _bucket(self, word: bytes) -> int:
+        return self.shape.words + zlib.crc32(word) % self.shape.hashed
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Codes of all words, places in the lexicon of the known ones, and the words that are not known."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        codes, open_at = self.code[at], np.flatnonzero(at < 0)
+        rare = [words[i] for i in open_at.tolist()]
+        codes[open_at] = [self._bucket(w) for w in rare]
+        return codes, at[at >= 0], rare
 
 
 def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3) -> Params:
@@ -132,7 +143,7 @@ def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3) -> Params:
         def train(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lexicon, start = shared.value
             coder, trainer = _Coder(lexicon), Trainer(start, lexicon.shape)
-            for texts in _gathered(batches, lambda text: coder(tokens_of(text))):
+            for texts in _gathered(batches, lambda text: coder(tokens_of(text))[0]):
                 trainer.learn(texts)
             values = flat(trainer.p)
             yield pa.RecordBatch.from_arrays([
@@ -174,20 +185,20 @@ def score_documents(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, params = shared.value
-        coder, index = _Coder(lexicon), lexicon.index()
+        coder = _Coder(lexicon)
         in_model = lexicon.shape.words
-        counted = np.zeros(in_model + len(index))
+        counted = np.zeros(len(coder.code))
         given = dict(zip(lexicon.words, lexicon.counts.tolist()))
-        for word, i in index.items():
+        for word, i in coder.index.items():
             counted[i] = given.get(word, 0)
         base = lexicon.base(counted)
         rest = np.where(np.arange(len(counted)) < in_model, 0.0, lexicon.rest(counted))
 
         def rows(held: list) -> pa.RecordBatch:
-            ids, codes, others = zip(*held)
+            ids, codes, known, rare_words = zip(*held)
             model = score_texts(params, lexicon.shape, list(codes)) / np.log(10)
             out = []
-            for doc, (at, rare) in enumerate(others):
+            for doc, (at, rare) in enumerate(zip(known, map(Counter, rare_words))):
                 out.append({
                     "n_tokens": len(codes[doc]), "n_known": int((counted[at] > 0).sum()),
                     "base_score": float(base[at].sum()), "score": float(model[doc] + rest[at].sum()),
@@ -205,11 +216,8 @@ def score_documents(
         held, size = [], 0
         for batch in batches:
             for key, text in zip(batch.column("id"), batch.column("text").to_pylist()):
-                words = tokens_of(text)
-                at = [index.get(w, -1) for w in words]
-                rare = Counter(w for w, i in zip(words, at) if i < 0)
-                held.append((key, coder(words), (np.array([i for i in at if i >= 0], dtype=np.int64), rare)))
-                size += len(words)
+                held.append((key, *coder(tokens_of(text))))
+                size += len(held[-1][1])
                 if size >= GATHER:
                     yield rows(held)
                     held, size = [], 0
