@@ -24,12 +24,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_VOCABULARY, MAX_CACHED, MARGIN = 1_000_000, 300_000, 4
+MAX_VOCABULARY, MAX_CACHED, MARGIN = 1_000_000, 500_000, 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,24 +41,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """(left id, right id) as one number to the id of the merged token."""
+    return {
+        ranks[t[:i]] << 32 | ranks[t[i:]]: r
+        for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
+    }
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int]) -> list[int]:
     """The ids of one pre-token: the leftmost pair of lowest rank is merged until no pair has a rank."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     if len(piece) > 64:
         return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    rank, none = ranks.get, len(ranks) + MAX_VOCABULARY
-    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs and (best := min(pairs)) != none:
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+    parts = [ranks[piece[i : i + 1]] for i in range(len(piece))]
+    find, none = pairs.get, 1 << 32
+    merged = [find(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+    while merged and (best := min(merged)) != none:
+        i = merged.index(best)
+        parts[i] = best
+        del parts[i + 1], merged[i]
         if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
+            merged[i - 1] = find(parts[i - 1] << 32 | best, none)
+        if i < len(merged):
+            merged[i] = find(best << 32 | parts[i + 1], none)
+    return parts
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -92,29 +101,29 @@ class Encoder:
     """Encodes in a task; pre-tokens seen before are looked up."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.find, self.known = ranks, regex.compile(pattern).findall, {}
+        self.ranks, self.pairs, self.find = ranks, pair_table(ranks), regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         known, pieces = self.known, self.find(text)
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.int32)
-        except KeyError:
-            pass
+        for p in set(pieces).difference(known):
+            known[p] = np.array(merge(p.encode(), self.ranks, self.pairs), dtype=np.int32).tobytes()
+        ids = np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.int32)
         if len(known) > MAX_CACHED:
             known.clear()
-        out = []
-        for p in pieces:
-            if (ids := known.get(p)) is None:
-                ids = np.array(merge(p.encode(), self.ranks), dtype=np.int32).tobytes()
-                if len(p) <= 64:
-                    known[p] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -154,7 +163,7 @@ class Tokenizer:
             encoder = _ENCODERS[pattern]
             if encoder.ranks != shared.value:
                 encoder = _ENCODERS[pattern] = Encoder(shared.value, pattern)
-            for batch in batches:
+            for batch in _slices(batches):
                 ids = _lists([encoder(t) for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), ids], [*keys, "ids"])
 
@@ -219,9 +228,10 @@ class Tokenizer:
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = shared.value.__getitem__
-            for batch in batches:
-                ids = batch.column(names.index(ids_col))
-                texts = [b"".join(map(token, row or ())) for row in ids.to_pylist()]
+            for batch in _slices(batches):
+                ids = batch.column(names.index(ids_col)).fill_null([])
+                flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
+                texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.binary())], [*names, "decoded"])
 
         shape = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
