@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latewise.llm.registry import QUERIES, SQL
 
-_MODULES = ["bpe", "chat", "decontaminate", "line_dedup", "lm", "quality", "sharding", "simhash", "warc"]
+_MODULES = [
+    "bpe", "chat", "decontaminate", "line_dedup", "lm", "pii", "quality", "sharding", "simhash", "warc",
+]
 
 
 def _load() -> None:
