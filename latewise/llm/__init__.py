@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from latewise.llm.registry import QUERIES, SQL
 
 _MODULES = [
-    "bpe", "chat", "decontaminate", "line_dedup", "lm", "pii", "quality", "sharding", "simhash", "warc",
+    "bpe", "chat", "decontaminate", "line_dedup", "lm", "pii", "pipeline", "quality", "sharding", "simhash", "warc",
 ]
 
 
