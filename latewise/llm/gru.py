@@ -117,40 +117,52 @@ def _steps(p: Params, inputs: np.ndarray, begin: int, h: np.ndarray, keep: list
     return out
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    return logits - np.log(total), e / total
-
-
-def _outputs(p: Params, shape: Shape, h: np.ndarray, y: np.ndarray, grad: Params | None):
-    """Natural log probability of each target (of its class alone for other words); with ``grad`` also d loss/d h."""
-    rows, group = np.arange(len(y)), np.minimum(y // shape.members, shape.classes)
-    logs, share = _softmax(h @ p["to_class"] + p["class_bias"])
-    score, dh = logs[rows, group], None
-    if grad is not None:
-        share[rows, group] -= 1
-        dh = share @ p["to_class"].T
-        grad["to_class"], grad["class_bias"] = h.T @ share, share.sum(axis=0)
-        grad["to_word"], grad["word_bias"] = np.zeros_like(p["to_word"]), np.zeros_like(p["word_bias"])
-    order = np.argsort(group, kind="stable")
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums by row. No logit comes near the bound; it only keeps float32 finite."""
+    e = np.exp(np.minimum(logits, 60, out=logits))
+    return e, e @ np.ones(e.shape[1], dtype=e.dtype)
+
+
+def _by_class(shape: Shape, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The class of each target; and for each class of own words its rows and their members."""
+    group = np.minimum(y // shape.members, shape.classes)
+    order = np.argsort(group.astype(np.int16), kind="stable")
     edges = np.searchsorted(group[order], np.arange(shape.classes + 1))
-    for c in range(shape.classes):
-        at = order[edges[c] : edges[c + 1]]
-        if not len(at):
-            continue
-        logs, share = _softmax(h[at] @ p["to_word"][c].T + p["word_bias"][c])
-        which = y[at] - c * shape.members
-        score[at] += logs[np.arange(len(at)), which]
-        if grad is not None:
-            share[np.arange(len(at)), which] -= 1
-            dh[at] += share @ p["to_word"][c]
-            grad["to_word"][c], grad["word_bias"][c] = share.T @ h[at], share.sum(axis=0)
-    return score, dh
-
-
-def score_texts(p: Params, shape: Shape, texts: list[np.ndarray], n_lanes: int = 1024, steps: int = 16) -> np.ndarray:
+    parts = [(c, order[edges[c] : edges[c + 1]]) for c in range(shape.classes) if edges[c] < edges[c + 1]]
+    return group, [(c, at, y[at] - c * shape.members) for c, at in parts]
+
+
+def _log_shares(p: Params, shape: Shape, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target (of its class alone for other words)."""
+    group, parts = _by_class(shape, y)
+    logits = h @ p["to_class"] + p["class_bias"]
+    score = logits[np.arange(len(y)), group] - np.log(_exp(logits)[1])
+    for c, at, member in parts:
+        logits = h[at] @ p["to_word"][c].T + p["word_bias"][c]
+        score[at] += logits[np.arange(len(at)), member] - np.log(_exp(logits)[1])
+    return score
+
+
+def _output_gradient(p: Params, shape: Shape, h: np.ndarray, y: np.ndarray, grad: Params) -> np.ndarray:
+    """d loss / d h; the gradients of the output parameters are put into ``grad``."""
+    group, parts = _by_class(shape, y)
+    share, total = _exp(h @ p["to_class"] + p["class_bias"])
+    share /= total[:, None]
+    share[np.arange(len(y)), group] -= 1
+    dh = share @ p["to_class"].T
+    grad["to_class"], grad["class_bias"] = h.T @ share, share.sum(axis=0)
+    grad["to_word"], grad["word_bias"] = np.zeros_like(p["to_word"]), np.zeros_like(p["word_bias"])
+    for c, at, member in parts:
+        own = h[at]
+        share, total = _exp(own @ p["to_word"][c].T + p["word_bias"][c])
+        share /= total[:, None]
+        share[np.arange(len(at)), member] -= 1
+        dh[at] += share @ p["to_word"][c]
+        grad["to_word"][c], grad["word_bias"][c] = share.T @ own, share.sum(axis=0)
+    return dh
+
+
+def score_texts(p: Params, shape: Shape, texts: list[np.ndarray], n_lanes: int = 512, steps: int = 16) -> np.ndarray:
     """Sum of natural log probabilities of each text; the state is carried from window to window."""
     total = np.zeros(len(texts))
     h = np.zeros((0, shape.hidden), dtype=np.float32)
@@ -159,18 +171,24 @@ def score_texts(p: Params, shape: Shape, texts: list[np.ndarray], n_lanes: int =
         states = _steps(p, x, shape.begin, h, None)
         h = states[-1]
         real = owner >= 0
-        score, _ = _outputs(p, shape, states[real], y[real], None)
+        score = _log_shares(p, shape, states[real], y[real])
         total += np.bincount(owner[real], weights=score, minlength=len(texts))
     return total
 
 
 class Trainer:
-    """Adagrad on windows of ``steps``; the state goes on, gradients stop at the window's begin."""
+    """Adagrad on windows of ``steps``; the state goes on, gradients stop at the window's begin.
+
+    The first ``warm_up`` updates are smaller, as the squares of few gradients say little.
+    """
+
+    warm_up = 20
 
-    def __init__(self, p: Params, shape: Shape, rate: float = 0.2, n_lanes: int = 256, steps: int = 16) -> None:
+    def __init__(self, p: Params, shape: Shape, rate: float = 0.2, n_lanes: int = 512, steps: int = 16) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
         self.seen = {k: np.full_like(v, 1e-6) for k, v in p.items()}
         self.shape, self.rate, self.n_lanes, self.steps, self.tokens = shape, rate, n_lanes, steps, 0
+        self.updates = 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
         h = np.zeros((0, self.shape.hidden), dtype=np.float32)
@@ -180,8 +198,9 @@ class Trainer:
 
     def _window(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, grad, keep = self.p, {}, []
+        self.updates += 1
         states = _steps(p, x, self.shape.begin, h, keep)
-        _, dh_real = _outputs(p, self.shape, states[real], y[real], grad)
+        dh_real = _output_gradient(p, self.shape, states[real], y[real], grad)
         full = self.n_lanes * self.steps  # windows in which few lanes still run count for less
         self.tokens += len(dh_real)
         d_states = np.zeros_like(states)
@@ -212,4 +231,5 @@ class Trainer:
 
     def _step(self, name: str, at, g: np.ndarray) -> None:
         self.seen[name][at] += g * g
-        self.p[name][at] -= self.rate * g / np.sqrt(self.seen[name][at])
+        rate = self.rate * min(1.0, self.updates / self.warm_up)
+        self.p[name][at] -= rate * g / np.sqrt(self.seen[name][at])

@@ -32,8 +32,8 @@ from latewise.llm.gru import Params, Shape, Trainer, flat, initial, score_texts,
 from latewise.llm.work import written
 
 END, ADD, LIMIT = b"", 0.1, 200_000
-#: Texts are gathered to about this many tokens before a model runs over them.
-GATHER = 1_000_000
+#: Texts are gathered to about this many tokens before a model runs over them: more fill the lanes more evenly.
+GATHER = 6_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -164,8 +164,8 @@ def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3) -> Params:
 def _gathered(batches: Iterator[pa.RecordBatch], code) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.append(code(text))
+        for text in batch.column("text"):
+            held.append(code(text.as_py()))
             size += len(held[-1])
             if size >= GATHER:
                 yield held
@@ -195,29 +195,30 @@ def score_documents(
         rest = np.where(np.arange(len(counted)) < in_model, 0.0, lexicon.rest(counted))
 
         def rows(held: list) -> pa.RecordBatch:
-            ids, codes, known, rare_words = zip(*held)
+            ids, codes, n_known, base_score, rest_score, rare = zip(*held)
             model = score_texts(params, lexicon.shape, list(codes)) / np.log(10)
-            out = []
-            for doc, (at, rare) in enumerate(zip(known, map(Counter, rare_words))):
-                out.append({
-                    "n_tokens": len(codes[doc]), "n_known": int((counted[at] > 0).sum()),
-                    "base_score": float(base[at].sum()), "score": float(model[doc] + rest[at].sum()),
-                    "rare": [{"word": w.decode(), "n": n} for w, n in rare.items()],
-                })
-            schema = pa.schema([
-                ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
-                ("score", pa.float64()),
-                ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-            ])
-            table = pa.RecordBatch.from_pylist(out, schema=schema)
-            first = pa.array([x.as_py() for x in ids], type=ids[0].type)
-            return pa.RecordBatch.from_arrays([first, *table.columns], ["id", *schema.names])
+            open_words = pa.StructArray.from_arrays([
+                pa.chunked_array([w for w, _ in rare], pa.string()).combine_chunks(),
+                pa.chunked_array([n for _, n in rare], pa.int64()).combine_chunks(),
+            ], ["word", "n"])
+            ends = np.cumsum([0, *(len(w) for w, _ in rare)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([
+                pa.array([x.as_py() for x in ids], type=ids[0].type), pa.array([len(c) for c in codes], pa.int64()),
+                pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()),
+                pa.array(model + np.array(rest_score), pa.float64()),
+                pa.ListArray.from_arrays(pa.array(ends), open_words),
+            ], ["id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
         held, size = [], 0
         for batch in batches:
-            for key, text in zip(batch.column("id"), batch.column("text").to_pylist()):
-                held.append((key, *coder(tokens_of(text))))
-                size += len(held[-1][1])
+            for key, text in zip(batch.column("id"), batch.column("text")):
+                codes, at, words = coder(tokens_of(text.as_py()))
+                rare = Counter(words)
+                held.append((
+                    key, codes, int((counted[at] > 0).sum()), base[at].sum(), rest[at].sum(),
+                    (_words(rare), pa.array(list(rare.values()), pa.int64())),
+                ))
+                size += len(codes)
                 if size >= GATHER:
                     yield rows(held)
                     held, size = [], 0
