@@ -102,6 +102,15 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.roc_auc(binary_predictions(spark, sf_dir)), ["roc_auc"])
 
 
+@query("roc_auc_other_labels", f"""WITH {S.BINARY}, {S.areas('', _POSITIVE)}
+SELECT round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM areas""")
+def roc_auc_other_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas where the labels are 1 and 2 instead of 0 and 1."""
+    pred = binary_predictions(spark, sf_dir).withColumn("y_true", F.col("y_true") + 1)
+    areas = curves.curve_areas(curves.binary_points(pred, classes=(1, 2)))
+    return rounded(areas.select("roc_auc", "average_precision"), ["roc_auc", "average_precision"])
+
+
 @query("average_precision", f"{_BINARY_AREAS} SELECT round(average_precision, 6) AS average_precision FROM areas")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.average_precision(binary_predictions(spark, sf_dir)), ["average_precision"])

@@ -11,7 +11,7 @@ from latewise.catalog.tables import _NULLS, _with_nulls
 from latewise.operators import profile as P
 from latewise.operators import select
 from latewise.operators.scale import Standardizer
-from latewise.operators.split import stratified_split
+from latewise.operators.split import stratified_split, unique_key
 from latewise.sources.order_items import binary_predictions, load, order_items
 
 
@@ -148,6 +148,22 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(order_items(spark, sf_dir, "row_key", "late"), "late", "row_key")
 
 
+_CONTENT = "md5(concat_ws('|', coalesce('=' || order_id, '~'), coalesce('=' || quantity, '~'), coalesce('=' || late, '~')))"
+
+
+@query("split_duplicate_keys", f"""
+WITH {S.ORDER_ITEMS}, narrow AS (SELECT order_id, quantity, late, {_CONTENT} AS content FROM order_items),
+keyed AS (SELECT *, content || '-' || row_number() OVER (PARTITION BY content) AS own_key FROM narrow),
+{S.split("keyed", "late", "own_key")}
+SELECT late, split, count(*) AS n, count(DISTINCT own_key) AS n_keys, min(own_key) AS first_key FROM split_rows GROUP BY 1, 2""")
+def split_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat get keys of their own, so the parts have their exact sizes."""
+    rows = order_items(spark, sf_dir, "order_id", "quantity", "late")
+    rows = unique_key(rows, "own_key", ["order_id", "quantity", "late"])
+    return stratified_split(rows, "late", "own_key").groupBy("late", "split").agg(
+        F.count("*").alias("n"), F.count_distinct("own_key").alias("n_keys"), F.min("own_key").alias("first_key"))
+
+
 _SCALED = ["order_item_product_price", "discount_rate", "latitude_dest", "quantity"]
 
 

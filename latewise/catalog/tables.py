@@ -302,6 +302,24 @@ def label_encode_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.LabelEncoder.fit(rows, ["customer_fname"], max_labels=0).apply(rows)
 
 
+@query("label_encode_unseen", f"""
+WITH {S.ORDER_ITEMS}, known AS (
+  SELECT customer_fname, dense_rank() OVER (ORDER BY customer_fname) - 1 AS code FROM (
+    SELECT DISTINCT customer_fname FROM order_items WHERE type = 'A')),
+coded AS (
+  SELECT row_key, CAST(coalesce(code, (SELECT count(*) FROM known)) AS INTEGER) AS code
+  FROM order_items LEFT JOIN known USING (customer_fname))
+SELECT row_key, code AS small, code AS large FROM coded""")
+def label_encode_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes fitted on part of the rows, by the indexer and by the distributed table; other values share a code."""
+    rows = order_items(spark, sf_dir, "row_key", "customer_fname", "type").withColumn("other", F.col("customer_fname"))
+    known = rows.filter(F.col("type") == "A")
+    small = encode.LabelEncoder.fit(known, ["customer_fname"], unseen="keep")
+    large = encode.LabelEncoder.fit(known, ["other"], max_labels=0, unseen="keep")
+    coded = large.apply(small.apply(rows))
+    return coded.select("row_key", F.col("customer_fname").alias("small"), F.col("other").alias("large"))
+
+
 def _dummies(col: str, levels: list) -> str:
     parts = [f"CASE WHEN CAST({col} AS VARCHAR) = '{v}' THEN 1 ELSE 0 END AS \"{col}_{v}\"" for v in levels]
     return ", ".join([*parts, f"CASE WHEN {col} IS NULL THEN 1 ELSE 0 END AS {col}_nan"])

@@ -36,5 +36,5 @@ def normalize_probs(probs: Column, keep: list[int] | None = None) -> Column:
 
 
 def probability_of(probs: Column, label: Column) -> Column:
-    """The entry of ``probs`` at the zero-based class ``label``."""
-    return F.get(probs, label.cast("int"))
+    """The entry of ``probs`` at the zero-based class ``label``; a label without an entry is an error."""
+    return F.coalesce(F.get(probs, label.cast("int")), F.raise_error(F.lit("a label has no probability")).cast("double"))

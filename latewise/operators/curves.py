@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,19 +76,32 @@ def _share(count: str, total: str):
     return F.when(F.col(total) > 0, F.col(count) / F.col(total)).otherwise(F.lit(0.0))
 
 
-def binary_points(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Score of the second class and 0/1 label."""
-    return pred.select(*by, F.get("prob", F.lit(1)).alias("score"), F.col("y_true").cast("int").alias("positive"))
+def _known(label: str, classes: Column) -> Column:
+    """The label, or an error if it is null or none of the classes."""
+    text = F.concat(F.lit("label "), F.coalesce(F.col(label).cast("string"), F.lit("null")), F.lit(" is no known class"))
+    return F.when(F.array_contains(classes, F.col(label)), F.col(label)).otherwise(F.raise_error(text).cast("int"))
 
 
-def ovr_points(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def binary_points(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] = (0, 1)) -> DataFrame:
+    """Score of the second class and 0/1 label. ``classes`` names the labels in the order of ``prob``."""
+    true = _known("y_true", F.array(*map(F.lit, classes)))
+    return pred.select(*by, F.get("prob", F.lit(1)).alias("score"), (true == classes[1]).cast("int").alias("positive"))
+
+
+def ovr_points(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] | None = None) -> DataFrame:
     """One row per row and class: the class, its probability, and whether it is the true one.
 
+    ``classes`` names the labels in the order of ``prob``; without it they are 0..k-1.
+
     The outer form keeps the optimizer from testing the array for emptiness first, which would compute
     the probabilities twice; rows without probabilities are dropped afterwards.
     """
-    long = pred.select(*by, "y_true", F.posexplode_outer("prob").alias("class", "score"))
+    names = F.sequence(F.lit(0), F.size("prob") - 1) if classes is None else F.array(*map(F.lit, classes))
+    true = F.when(F.size("prob") > 0, _known("y_true", names))
+    long = pred.select(*by, true.alias("y_true"), F.posexplode_outer("prob").alias("class", "score"))
     long = long.filter(F.col("class").isNotNull())
+    if classes is not None:
+        long = long.withColumn("class", F.get(names, F.col("class")))
     return long.select(*by, "class", "score", F.when(F.col("class") == F.col("y_true"), 1).otherwise(0).alias("positive"))
 
 
@@ -141,21 +154,21 @@ def curve_areas(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def roc_auc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return curve_areas(binary_points(pred, by), by).select(*by, "roc_auc")
+def roc_auc(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] = (0, 1)) -> DataFrame:
+    return curve_areas(binary_points(pred, by, classes), by).select(*by, "roc_auc")
 
 
-def average_precision(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return curve_areas(binary_points(pred, by), by).select(*by, "average_precision")
+def average_precision(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] = (0, 1)) -> DataFrame:
+    return curve_areas(binary_points(pred, by, classes), by).select(*by, "average_precision")
 
 
-def pr_auc_trapezoid(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return curve_areas(binary_points(pred, by), by).select(*by, "pr_auc_trapezoid")
+def pr_auc_trapezoid(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] = (0, 1)) -> DataFrame:
+    return curve_areas(binary_points(pred, by, classes), by).select(*by, "pr_auc_trapezoid")
 
 
-def ovr_areas(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def ovr_areas(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] | None = None) -> DataFrame:
     """Per group and class: the areas of that class against the rest."""
-    return curve_areas(ovr_points(pred, by), [*by, "class"])
+    return curve_areas(ovr_points(pred, by, classes), [*by, "class"])
 
 
 def weighted_ovr(areas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -167,6 +180,6 @@ def weighted_ovr(areas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ])
 
 
-def micro_auc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def micro_auc(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[int] | None = None) -> DataFrame:
     """ROC-AUC and trapezoid PR area over all (row, class) cells together."""
-    return curve_areas(ovr_points(pred, by).drop("class"), by).select(*by, "roc_auc", "pr_auc_trapezoid")
+    return curve_areas(ovr_points(pred, by, classes).drop("class"), by).select(*by, "roc_auc", "pr_auc_trapezoid")

@@ -20,13 +20,18 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
+def _given(name: str) -> Column:
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"a row has no {name}")).cast("int"))
+
+
 def confusion(pred: DataFrame, by: Sequence[str] = (), labels: list[int] | None = None) -> DataFrame:
     """(by, actual, predicted, n) over the full grid of classes.
 
     The classes are those seen as label or prediction, or exactly the given ones; with given labels,
-    rows of other classes are left out.
+    rows of other classes are left out. A row without a label or without a prediction is an error.
     """
     by = list(by)
+    pred = pred.withColumns({c: _given(c) for c in ("y_true", "y_pred")})
     if labels is not None:
         pred = pred.filter(F.col("y_true").isin(labels) & F.col("y_pred").isin(labels))
     cells = pred.groupBy(*by, F.col("y_true").alias("actual"), F.col("y_pred").alias("predicted")).agg(
@@ -92,7 +97,7 @@ def summary_metrics(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pred.groupBy(*by).agg(
-        F.avg(F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)).alias("accuracy")
+        F.avg(F.when(_given("y_true") == _given("y_pred"), 1.0).otherwise(0.0)).alias("accuracy")
     )
 
 

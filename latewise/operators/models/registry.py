@@ -35,8 +35,8 @@ def registry(n_train: int, n_classes: int, key: str = "row_key", seed: int = 42)
         return one if n_classes == 2 else OneVsRest(classifier=one)
 
     return {
-        "XGBoost": boosted(32),
-        "LightGBM": boosted(255),
+        "boosted_trees": boosted(32),
+        "boosted_trees_fine": boosted(255),
         "RandomForest": RandomForestClassifier(numTrees=300, maxDepth=5, featureSubsetStrategy="sqrt", seed=seed),
         "DecisionTree": DecisionTreeClassifier(maxDepth=5, seed=seed),
         "LogisticRegression": LogisticRegression(

@@ -44,7 +44,8 @@ def split_quotas(counts: dict, test: float = 0.1, val: float = 0.1) -> dict:
 class StratifiedSplit:
     """Per class the last hash that goes to test and the last that goes to validation.
 
-    Splitting is then one projection: no row moves and the key alone decides. Keys must be unique.
+    Splitting is then one projection: no row moves and the key alone decides. Keys must be unique and not null:
+    a null key, or a key that repeats where a quota ends, is an error. ``unique_key`` makes such keys unique.
     """
 
     label: str
@@ -64,7 +65,10 @@ class StratifiedSplit:
         """
         rows = df.select(F.col(label).alias("label"), _hash(key, seed).alias("hash"))
         rows = rows.withColumn("prefix", F.substring("hash", 1, PREFIX))
-        cells = rows.groupBy("label", "prefix").agg(F.count("*").alias("n")).persist()
+        rows = rows.withColumn("no_key", F.col("hash").isNull())
+        cells = rows.groupBy("label", "prefix").agg(
+            F.count("*").alias("n"), F.sum(F.col("no_key").cast("long")).alias("no_key")
+        ).persist()
         try:
             return StratifiedSplit._from_cells(rows, cells, label, key, test, val, seed)
         finally:
@@ -74,7 +78,10 @@ class StratifiedSplit:
     def _from_cells(
         rows: DataFrame, cells: DataFrame, label: str, key: str, test: float, val: float, seed: int
     ) -> StratifiedSplit:
-        found = cells.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
+        found = cells.groupBy("label").agg(F.sum("n").alias("n"), F.sum("no_key").alias("no_key"))
+        found = found.limit(MAX_CLASSES + 1).collect()
+        if any(r["no_key"] for r in found):
+            raise ValueError(f"{sum(r['no_key'] for r in found)} rows have no {key}; see unique_key")
         if len(found) > MAX_CLASSES:
             raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is not a class label")
         quotas = split_quotas({r["label"]: r["n"] for r in found}, test, val)
@@ -99,14 +106,16 @@ class StratifiedSplit:
         in_place = F.lit(False)
         for c in quotas:
             in_place = in_place | ((F.col("label") == F.lit(c)) & F.col("prefix").isin([r["prefix"] for r in crossing if r["label"] == c]))
-        rank = F.row_number().over(Window.partitionBy("label", "prefix").orderBy("hash"))
+        by_hash = Window.partitionBy("label", "prefix").orderBy("hash")
         last = (
-            rows.filter(in_place).withColumn("rank", rank)
+            rows.filter(in_place).withColumns({"rank": F.row_number().over(by_hash), "next": F.lead("hash").over(by_hash)})
             .withColumn("w", F.explode(F.filter(needs, lambda w: (
                 (w["c"] == F.col("label")) & (w["p"] == F.col("prefix")) & (w["need"] == F.col("rank"))
             ))))
-            .select("label", "w.part", "hash").collect()
+            .select("label", "w.part", "hash", "next").collect()
         )
+        if any(r["hash"] == r["next"] for r in last):
+            raise ValueError(f"{key} repeats where a part of the split ends; see unique_key")
         limits: dict = {}
         for r in last:
             limits.setdefault(r["label"], {})[r["part"]] = r["hash"]
@@ -128,7 +137,25 @@ class StratifiedSplit:
 
 
 def _hash(key: str, seed: int) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))
+    """Null for a null key."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+
+
+def unique_key(df: DataFrame, out: str, cols: list[str] | None = None) -> DataFrame:
+    """Add a key made of the row's content and, for rows that repeat, their number.
+
+    The content is unambiguous: nulls differ from any text, and separators inside a text are doubled. Rows that repeat
+    are interchangeable, so their numbers may fall either way.
+    """
+    parts = [
+        F.coalesce(F.concat(F.lit("="), F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("||"))), F.lit("~"))
+        for c in cols or df.columns
+    ]
+    content = df.withColumn(out, F.md5(F.concat_ws("|", *parts)))
+    number = F.row_number().over(Window.partitionBy(out).orderBy(F.lit(0)))
+    return content.withColumn("_number", number).withColumn(
+        out, F.concat_ws("-", out, F.col("_number").cast("string"))
+    ).drop("_number")
 
 
 def stratified_split(

@@ -14,18 +14,18 @@ from latewise.sources.tables import spread, to_xy
 
 
 def _failed(spark, model: str, error: Exception) -> DataFrame:
-    text = f"{type(error).__name__}: {error}"[:500]
+    text = f"{type(error).__name__}: {error}"
     return spark.createDataFrame([(model, "failed", text)], "model string, status string, error string")
 
 
 def run_models(
     models: dict, train: DataFrame, test: DataFrame, n_classes: int, names: Iterable[str] | None = None,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), on_error: str = "record",
 ) -> DataFrame:
     """Fit every model (or the named ones), score the test rows, and return one record per model.
 
     ``train_time`` covers fitting, scoring and metrics. A model that fails gives a record with its
-    error and the others go on. Both tables are held while the models run.
+    whole error and the others go on; ``on_error="raise"`` stops instead. Both tables are held while the models run.
     """
     names = list(models) if names is None else list(names)
     unknown = [n for n in names if n not in models]
@@ -46,6 +46,8 @@ def run_models(
                     F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "*"
                 )
             except Exception as error:  # noqa: BLE001
+                if on_error == "raise":
+                    raise
                 record = _failed(spark, name, error)
             record = record.withColumns({"train_time": F.lit(time.perf_counter() - start), "place": F.lit(place)})
             records = record if records is None else records.unionByName(record, allowMissingColumns=True)
@@ -73,7 +75,7 @@ def run_ablation(
     for place, name in enumerate(names):
         cols = variants[name]
         parts = {p: to_xy(table.filter(F.col("split") == p), label, cols) for p in ("train", "test")}
-        record = run_models({name: make_model()}, parts["train"], parts["test"], n_classes)
+        record = run_models({name: make_model()}, parts["train"], parts["test"], n_classes, on_error="raise")
         record = record.withColumn("place", F.lit(place)).withColumnRenamed("model", "variant")
         records = record if records is None else records.unionByName(record, allowMissingColumns=True)
     return records

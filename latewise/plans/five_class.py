@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latewise.operators.clean import fill_leading, fill_numeric, merge_dedup
 from latewise.operators.scale import Standardizer
-from latewise.operators.split import StratifiedSplit
+from latewise.operators.split import StratifiedSplit, unique_key
 from latewise.plans.binary import Prepared, materialize
 from latewise.sources.tables import require_columns
 
@@ -15,16 +15,17 @@ from latewise.sources.tables import require_columns
 def prepare_five_class(a: DataFrame, b: DataFrame, label: str, key: str | None = None, seed: int = 42) -> Prepared:
     """Merge, remove exact duplicates, fill nulls, split 8:1:1 within classes, scale with training statistics.
 
-    Without a key column the content of the row, unique after the duplicates are gone, is its key.
+    Without a key column the content of the merged row, before nulls are filled, is its key: filling can make rows
+    equal that were not.
     """
     for part in (a, b):
         require_columns(part, [label])
-    rows = fill_numeric(fill_leading(merge_dedup(a, b)), label)
-    given = F.coalesce(F.col(label).cast("long"), F.raise_error(F.lit("a row has no label")).cast("long"))
+    merged = merge_dedup(a, b)
     if key is None:
         key = "row_key"
-        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
-        rows = rows.withColumn(key, F.concat_ws("|", *parts))
+        merged = unique_key(merged, key)
+    rows = fill_numeric(fill_leading(merged), label)
+    given = F.coalesce(F.col(label).cast("long"), F.raise_error(F.lit("a row has no label")).cast("long"))
     rows = materialize(rows.withColumn(label, given), "merged")
     features = [c for c in rows.columns if c not in (label, key)]
     split = StratifiedSplit.fit(rows, label, key, seed=seed)

@@ -25,17 +25,27 @@ def read_table(
     required: Iterable[str] = (),
     fmt: str | None = None,
 ) -> DataFrame:
-    """Parquet or headed CSV. CSV types are inferred (one more pass) only when no schema is given."""
+    """Parquet or headed CSV. CSV types are inferred (one more pass) only when no schema is given.
+
+    With a schema, CSV columns are taken by their name in the header: a column that the header lacks is an error, one
+    that the schema lacks is left out. Every file must have the same header.
+    """
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("encoding", "UTF-8")
-        df = reader.csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
-    else:
-        df = reader.format(fmt).load(path)
-    return require_columns(df, required)
+    if fmt != "csv":
+        reader = reader if schema is None else reader.schema(schema)
+        return require_columns(reader.format(fmt).load(path), required)
+    reader = reader.option("header", True).option("encoding", "UTF-8")
+    if schema is None:
+        return require_columns(reader.option("inferSchema", True).csv(path), required)
+    given = reader.csv(path)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    require_columns(given, [*(f.name for f in wanted.fields), *required])
+    fields = {f.name: f for f in wanted.fields}
+    # In the header's order, and checked against the header of every file.
+    ordered = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in given.columns])
+    return spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).schema(
+        ordered).csv(path).select(*fields)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "csv") -> None:

@@ -130,3 +130,20 @@ def test_best_model_first_wins_and_deltas(spark):
     assert results.best_model(table).first()["variant"] == "full"
     deltas = {r["variant"]: r["f1_decline"] for r in results.ablation_deltas(table, "full", ["f1"]).collect()}
     assert deltas == {"b": 0.0, "c": pytest.approx(0.2)}
+
+
+def test_missing_predictions_are_errors(spark):
+    pred = spark.createDataFrame([(0, 0), (1, 1), (1, None)], "y_true int, y_pred int")
+    for table in (metrics.confusion(pred), metrics.accuracy(pred)):
+        with pytest.raises(Exception, match="y_pred"):
+            table.collect()
+
+
+def test_labels_other_than_zero_and_one(spark):
+    pred = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.2, 0.8]), (1, [0.7, 0.3])], "y_true int, prob array<double>")
+    assert curves.roc_auc(pred, classes=(1, 2)).first()[0] == 1.0
+    areas = {r["class"]: r.roc_auc for r in curves.ovr_areas(pred, classes=(1, 2)).collect()}
+    assert areas == {1: 1.0, 2: 1.0}
+    for bad in (curves.roc_auc, curves.ovr_areas):
+        with pytest.raises(Exception, match="no known class"):
+            bad(pred).collect()

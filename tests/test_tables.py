@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latewise.operators import clean, encode, features, profile, select
 from latewise.operators.scale import Standardizer
-from latewise.operators.split import StratifiedSplit, split_quotas, stratified_split
+from latewise.operators.split import StratifiedSplit, split_quotas, stratified_split, unique_key
 from latewise.session import work_dir
 from latewise.sources import tables
 
@@ -157,3 +157,40 @@ def test_work_dir_uses_the_shared_setting(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     one, two = work_dir(spark), work_dir(spark)
     assert one != two and (base is None or one.startswith(base.rstrip("/") + "/"))
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("b,a\n1,2\n")
+    got = tables.read_table(spark, str(tmp_path / "t.csv"), "a int, b int").collect()
+    assert [tuple(r) for r in got] == [(2, 1)]
+    with pytest.raises(ValueError, match="label"):
+        tables.read_table(spark, str(tmp_path / "t.csv"), "a int, b int, label int", required=["label"])
+
+
+def test_large_columns_treat_unseen_values_like_small_ones(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "s string")
+    new = spark.createDataFrame([("b",), ("z",)], "s string")
+    for limit in (0, 1000):
+        keep = encode.LabelEncoder.fit(known, ["s"], max_labels=limit, unseen="keep")
+        assert [r.s for r in keep.apply(new).collect()] == [1, 2]
+        with pytest.raises(Exception, match="(?i)unseen"):
+            encode.LabelEncoder.fit(known, ["s"], max_labels=limit).apply(new).collect()
+
+
+def test_split_refuses_keys_that_cannot_decide(spark):
+    empty = spark.createDataFrame([(None, i % 2) for i in range(100)], "k string, y int")
+    with pytest.raises(ValueError, match="no k"):
+        stratified_split(empty, "y", "k")
+    repeated = spark.createDataFrame([(f"k{i % 5}", i % 2) for i in range(100)], "k string, y int")
+    with pytest.raises(ValueError, match="repeats"):
+        stratified_split(repeated, "y", "k")
+    for rows in (empty, repeated):
+        own = unique_key(rows, "own")
+        assert own.select("own").distinct().count() == 100
+        parts = {r[0]: r[1] for r in stratified_split(own, "y", "own").groupBy("split").count().collect()}
+        assert parts == {"train": 80, "val": 10, "test": 10}
+
+
+def test_keys_of_rows_tell_nulls_and_separators_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("~", "x")], "p string, q string")
+    assert unique_key(rows, "k").select("k").distinct().count() == 5
