@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_VOCABULARY, MAX_CACHED, MARGIN = 1_000_000, 500_000, 4
+MAX_VOCABULARY, MAX_CACHED, MARGIN = 1_000_000, 300_000, 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,7 +176,8 @@ class Tokenizer:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, text in enumerate(batch.column("text").to_pylist()):
+                for i, text in enumerate(batch.column("text")):
+                    text = text.as_py()
                     bodies = [text[at : at + step + overlap] for at in range(0, max(1, len(text) - overlap), step)]
                     k = np.arange(len(bodies), dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([
@@ -188,7 +189,8 @@ class Tokenizer:
             find = regex.compile(pattern)
             for batch in batches:
                 heads, tails = [], []
-                for k, body in zip(batch.column("k").to_pylist(), batch.column("body").to_pylist()):
+                for k, body in zip(batch.column("k").to_pylist(), batch.column("body")):
+                    body = body.as_py()
                     start, end = k * step, k * step + len(body)
                     heads.append(boundaries(body, start, start, start + overlap - MARGIN, find))
                     tails.append(boundaries(body, start, start + step, end - MARGIN, find))

@@ -116,8 +116,8 @@ class _Scan:
         held: list[tuple[pa.Scalar, int, str, np.ndarray]] = []
         size = 0
         for batch in batches:
-            keys = zip(batch.column("id"), batch.column("content").to_pylist(), batch.column("text").to_pylist())
-            for key, content, text in keys:
+            for key, content, text in zip(*(batch.column(c) for c in ("id", "content", "text"))):
+                content, text = content.as_py(), text.as_py()
                 words = words_of(text)
                 held.append((key, content, text, np.fromiter(
                     map(block.number.get, words, itertools.repeat(0)), dtype=np.int32, count=len(words))))

@@ -56,8 +56,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([_words(counts), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(tokens_of(text))
+        for text in batch.column("text"):
+            counts.update(tokens_of(text.as_py()))
             if len(counts) > LIMIT:
                 yield rows()
                 counts.clear()
@@ -133,7 +133,7 @@ class _Coder:
         return codes, at[at >= 0], rare
 
 
-def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3) -> Params:
+def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3, n_lanes: int = 512) -> Params:
     """Parameters after every training document was taken once."""
     spark, params = training.sparkSession, lexicon.start()
     part = F.pmod(F.xxhash64("text"), F.lit(rounds))
@@ -142,7 +142,7 @@ def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3) -> Params:
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lexicon, start = shared.value
-            coder, trainer = _Coder(lexicon), Trainer(start, lexicon.shape)
+            coder, trainer = _Coder(lexicon), Trainer(start, lexicon.shape, n_lanes=n_lanes)
             for texts in _gathered(batches, lambda text: coder(tokens_of(text))[0]):
                 trainer.learn(texts)
             values = flat(trainer.p)

@@ -44,7 +44,10 @@ def fingerprint(text: str, width: int) -> int:
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
     tails = ends[width - 1 :] if len(words) >= width else ends[-1:]
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, tails)), dtype=np.uint64, count=n)
-    set_bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    set_bits = np.zeros(64, dtype=np.int64)
+    for at in range(0, n, 1 << 16):  # a block at a time: unpacked bits take eight times the room
+        octets = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -53,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t or "", width) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t.as_py() or "", width) for t in batch.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
