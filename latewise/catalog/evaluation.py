@@ -124,6 +124,36 @@ def pr_auc_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OVR_AREAS = f"WITH {S.MULTI}, {S.areas('class,', 'cells')}"
 
 
+_TURNS = "(tp = pos AND fp = neg) OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg"
+
+
+@query("roc_curve_ovr", f"""{_OVR_AREAS}
+SELECT class, round(score, 6) AS threshold, round(fp / nn::DOUBLE, 6) AS fpr, round(tp / np::DOUBLE, 6) AS tpr FROM ranked WHERE {_TURNS}
+UNION ALL SELECT DISTINCT class, 'Infinity'::DOUBLE, 0, 0 FROM ranked""")
+def roc_curve_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ROC points of each class against the rest."""
+    curve = curves.roc_curve(curves.ovr_points(multi_predictions(spark, sf_dir)), ["class"])
+    return rounded(curve, ["threshold", "fpr", "tpr"])
+
+
+@query("pr_curve_ovr", f"""{_OVR_AREAS}
+SELECT class, round(score, 6) AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS "precision", round(tp / np::DOUBLE, 6) AS recall FROM ranked
+UNION ALL SELECT DISTINCT class, NULL::DOUBLE, 1, 0 FROM ranked""")
+def pr_curve_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The precision-recall points of each class against the rest."""
+    curve = curves.pr_curve(curves.ovr_points(multi_predictions(spark, sf_dir)), ["class"])
+    return rounded(curve, ["threshold", "precision", "recall"])
+
+
+@query("roc_curve_micro", f"""WITH {S.MULTI}, {S.areas('', 'cells')}
+SELECT round(score, 9) AS threshold, round(fp / nn::DOUBLE, 9) AS fpr, round(tp / np::DOUBLE, 9) AS tpr FROM ranked WHERE {_TURNS}
+UNION ALL SELECT 'Infinity'::DOUBLE, 0, 0""")
+def roc_curve_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ROC points over all (row, class) cells together."""
+    curve = curves.roc_curve(curves.ovr_points(multi_predictions(spark, sf_dir)).drop("class"))
+    return rounded(curve, ["threshold", "fpr", "tpr"], 9)
+
+
 def _ovr(name: str, sql_name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Area per class and, in the row without a class, the mean weighted by class size."""

@@ -12,7 +12,6 @@ from latewise.catalog.modelling import FEATURES, binary_splits, parts
 from latewise.catalog.registry import query, r, rounded
 from latewise.functions import argmax
 from latewise.operators import explain as X
-from latewise.operators.clean import first_n
 from latewise.operators.split import stratified_split
 from latewise.sources.order_items import order_items
 
@@ -167,7 +166,9 @@ FROM bars WHERE row_key IN (SELECT row_key FROM wrong)""")
 def error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three misclassified rows with the contributions to the class they were given."""
     rows = inputs(spark, sf_dir)
-    table = X.error_cases(predictions(rows), gradients(rows))
+    background = X.background_sample(rows.filter(F.col("split") == "train"), "row_key", NAMES, BACKGROUND)
+    scored = rows.withColumn("prob", MODEL.probability()).withColumn("y_pred", argmax(F.col("prob"))).drop("prob")
+    table = X.error_cases(scored, lambda few: X.expected_gradients(few, background, MODEL, steps=STEPS))
     return rounded(table.select("row_key", "y_true", "y_pred", "place", "feature", "shap"), ["shap"])
 
 
@@ -181,11 +182,10 @@ def misclassified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shap_permutation")
 def shap_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean absolute contribution per class and feature of a fitted tree, over the first 400 test rows."""
+    """Mean absolute contribution per class and feature of a fitted tree, over all test rows."""
     table = binary_splits(spark, sf_dir)
     split = parts(table, "late", FEATURES)
     model = DecisionTreeClassifier(maxDepth=5, seed=42).fit(split["train"])
     background = X.background_sample(table.filter(F.col("split") == "train"), "row_key", FEATURES, 20)
-    sample = first_n(table.filter(F.col("split") == "test"), "row_key", X.MAX_EXPLAINED)
-    explained = X.permutation_shap(model, sample, background, FEATURES)
+    explained = X.permutation_shap(model, table.filter(F.col("split") == "test"), background, FEATURES)
     return rounded(X.shap_summary(explained), ["importance", "mean_shap", "mean_value"])

@@ -30,17 +30,28 @@ def build_session(app_name: str = "latewise", master: str | None = None, **conf:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may leave that setting out; it then gets a temporary folder of this machine,
-    which is remembered in the session so that every later call lands beside it.
+    Only a session on one machine may leave that setting out; it then gets a temporary folder, which is remembered so
+    that every later call lands beside it. ``clear_work`` deletes what this process made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = _local_base()
-    return f"{base.rstrip('/')}/latewise-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/latewise-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work folders of this process. Call it when no table that was read from them is needed any more."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        path = path_of(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_MADE: list[str] = []
 _LOCAL_BASE: list[str] = []
 
 

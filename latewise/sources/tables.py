@@ -85,15 +85,13 @@ def to_xy(df: DataFrame, label: str, features: list[str] | None = None, keep: It
     return assembler.transform(df).select(*keep, "features", F.col(label).cast("double").alias("label"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """The rows dealt out over all cores before work that is bound by computing, not by reading.
 
-    One shuffle of narrow rows ahead of many passes over them (or of a costly pass); it also undoes
-    the unevenness of the source files.
+    Only a source of fewer partitions than cores is dealt out; a larger one stays as it is read.
     """
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def save_model(model: MLWritable, path: str) -> None:

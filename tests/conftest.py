@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from latewise.session import build_session  # noqa: E402
+from latewise.session import build_session, clear_work  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +18,7 @@ def spark():
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 
