@@ -6,8 +6,28 @@ from pyspark.sql import functions as F
 from latewise.llm.decontaminate import find_passages
 from latewise.llm.registry import query, table
 
+_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
-@query("op10_decontamination")
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+parts AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM i WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, len(w[k : k + 9]) AS n, array_to_string(w[k : k + 9], ' ') AS s FROM parts),
+places AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM win)),
+hits AS (
+  SELECT doc_id, k, n, item FROM (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM places)
+  JOIN win USING (n, s)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY 1),
+names AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+
+@query("op10_decontamination", SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all windows of ten words of the benchmark."""
     found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
