@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +25,9 @@ from latewise.plans.experiment import run_ablation, run_models
 from latewise.plans.five_class import prepare_five_class
 from latewise.session import work_dir
 from latewise.sources.order_items import binary_predictions, load, multi_predictions, order_items
-from latewise.sources.tables import load_params, read_table, save_model, save_params, to_xy, write_report, write_results
+from latewise.sources.tables import (
+    load_model, load_params, read_table, save_model, save_params, stamped, to_xy, write_report, write_results,
+)
 
 _ENC = ["category_name", "customer_segment", "department_name", "market", "order_status", "shipping_mode", "customer_country", "product_name"]
 _KM = """CASE WHEN s <= 0 THEN 0 ELSE 6378.137::DOUBLE * (s - 1 / 298.257223563::DOUBLE / 2 * (
@@ -330,7 +332,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"), DecisionTreeClassifier(maxDepth=5, seed=42)]
     path = f"{work_dir(spark)}/model"
     save_model(Pipeline(stages=stages).fit(table.filter(F.col("split") == "train")), path)
-    loaded = PipelineModel.load(path)
+    loaded = load_model(spark, path)
     return score(loaded, table.filter(F.col("split") == "test")).groupBy("y_true", "y_pred").count()
 
 
@@ -341,7 +343,7 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result records written as JSON lines and read back."""
     pred = binary_predictions(spark, sf_dir, "shipping_mode").withColumnRenamed("shipping_mode", "model")
     table = metrics.summary_metrics(metrics.confusion(pred, ["model"]), ["model"])
-    path = f"{work_dir(spark)}/results"
+    path = stamped(f"{work_dir(spark)}/results")
     write_results(rounded(table.select("model", "n", "accuracy", "mcc"), ["accuracy", "mcc"]), path)
     return read_table(spark, path, "model string, n long, accuracy double, mcc double", fmt="json")
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.util import MLWritable
+from pyspark.ml.util import DefaultParamsReader, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +99,16 @@ def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(spark: SparkSession, path: str):
+    """Any model or pipeline that ``save_model`` wrote."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
+def stamped(path: str, when: datetime | None = None) -> str:
+    """The path with the time behind it, so that a later run does not overwrite an earlier one."""
+    return f"{path.rstrip('/')}_{(when or datetime.now()):%Y%m%d_%H%M%S}"
+
+
 def save_params(params: DataFrame, path: str) -> None:
     """Fitted parameters as a small Parquet table."""
     params.coalesce(1).write.mode("overwrite").parquet(path)

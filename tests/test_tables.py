@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 from pathlib import Path
 
 import numpy as np
@@ -194,3 +195,7 @@ def test_split_refuses_keys_that_cannot_decide(spark):
 def test_keys_of_rows_tell_nulls_and_separators_apart(spark):
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("~", "x")], "p string, q string")
     assert unique_key(rows, "k").select("k").distinct().count() == 5
+
+
+def test_stamped_names_differ_by_time():
+    assert tables.stamped("a/results/", datetime(2024, 5, 6, 7, 8, 9)) == "a/results_20240506_070809"
