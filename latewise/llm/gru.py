@@ -179,10 +179,11 @@ def score_texts(p: Params, shape: Shape, texts: list[np.ndarray], n_lanes: int =
 class Trainer:
     """Adagrad on windows of ``steps``; the state goes on, gradients stop at the window's begin.
 
-    The first ``warm_up`` updates are smaller, as the squares of few gradients say little.
+    The first ``warm_up`` updates are smaller, as the squares of few gradients say little. Long texts are learnt in
+    stretches, each from a fresh state, so lanes end nearly together; scoring carries the state through.
     """
 
-    warm_up = 20
+    warm_up, stretch = 20, 2048
 
     def __init__(self, p: Params, shape: Shape, rate: float = 0.2, n_lanes: int = 512, steps: int = 16) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
@@ -191,6 +192,7 @@ class Trainer:
         self.updates = 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
+        texts = [t[at : at + self.stretch] for t in texts for at in range(0, len(t), self.stretch)]
         h = np.zeros((0, self.shape.hidden), dtype=np.float32)
         for running, x, y, owner in windows(texts, self.shape, self.n_lanes, self.steps):
             h = np.zeros((running, self.shape.hidden), np.float32) if not len(h) else h[:running]

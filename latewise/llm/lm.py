@@ -129,7 +129,8 @@ class _Coder:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         codes, open_at = self.code[at], np.flatnonzero(at < 0)
         rare = [words[i] for i in open_at.tolist()]
-        codes[open_at] = [self._bucket(w) for w in rare]
+        crc, first, n = zlib.crc32, self.shape.words, self.shape.hashed
+        codes[open_at] = [first + crc(w) % n for w in rare]
         return codes, at[at >= 0], rare
 
 
