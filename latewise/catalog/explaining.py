@@ -13,6 +13,7 @@ from latewise.catalog.registry import query, r, rounded
 from latewise.functions import argmax
 from latewise.operators import explain as X
 from latewise.operators.split import stratified_split
+from latewise.plans.binary import materialize
 from latewise.sources.order_items import order_items
 
 NAMES = ["order_processing_days", "shipping_mode", "price", "discount", "quantity"]
@@ -60,7 +61,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_items(
         spark, sf_dir, "row_key", "late", "processing_days", "days_for_shipment_scheduled", "product_price", "discount_rate", "quantity"
     )
-    rows = stratified_split(rows, "late", "row_key")
+    rows = stratified_split(materialize(rows, "lines"), "late", "row_key")
     return rows.select(
         "row_key", F.col("late").alias("y_true"), "split", F.col("processing_days").cast("double").alias("order_processing_days"),
         F.col("days_for_shipment_scheduled").cast("double").alias("shipping_mode"), (F.col("product_price") / 1000).alias("price"),

@@ -162,7 +162,7 @@ UNION ALL SELECT 'class_rows', CAST(delivery_risk AS VARCHAR), count(*)::DOUBLE
 UNION ALL SELECT 'class_share', CAST(delivery_risk AS VARCHAR), round(count(*) / (SELECT count(*) FROM engineered)::DOUBLE, 4) FROM engineered GROUP BY 2
 UNION ALL SELECT 'f_score', feature, round(CASE WHEN within_ss = 0 THEN 'Infinity'::DOUBLE ELSE between_ss * (n - k) / (within_ss * (k - 1)) END, 4) FROM scores""")
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality_report(engineered(order_items(spark, sf_dir))), ["value"], 4)
+    return rounded(quality_report(materialize(engineered(order_items(spark, sf_dir)), "engineered")), ["value"], 4)
 
 
 FEATURES = [
@@ -173,7 +173,8 @@ FEATURES = [
 
 def binary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with scaled numeric columns, the late label and a split column."""
-    rows = stratified_split(order_items(spark, sf_dir, "row_key", *FEATURES, "late"), "late", "row_key")
+    lines = materialize(order_items(spark, sf_dir, "row_key", *FEATURES, "late"), "lines")
+    rows = stratified_split(lines, "late", "row_key")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in FEATURES})
     table = Standardizer.fit(rows.filter(F.col("split") == "train"), FEATURES).apply(rows)
     return materialize(table, "binary-splits")
@@ -183,8 +184,8 @@ _FIVE_FEATURES = ["quantity", "line_number", "processing_days", "tax", "discount
 
 
 def five_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order_items(spark, sf_dir, "row_key", *_FIVE_FEATURES, "stability")
-    rows = stratified_split(rows, "stability", "row_key")
+    lines = materialize(order_items(spark, sf_dir, "row_key", *_FIVE_FEATURES, "stability"), "lines")
+    rows = stratified_split(lines, "stability", "row_key")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in _FIVE_FEATURES})
     table = Standardizer.fit(rows.filter(F.col("split") == "train"), _FIVE_FEATURES).apply(rows)
     return materialize(table, "five-splits")
@@ -319,7 +320,8 @@ SELECT row_key, round((quantity - (SELECT avg(quantity) FROM split_rows WHERE sp
   / (SELECT stddev_pop(quantity) FROM split_rows WHERE split = 'train'), 6) + 0.0 AS quantity FROM order_items""")
 def scaler_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaling parameters fitted on training rows, saved, loaded and applied to all rows."""
-    rows = stratified_split(order_items(spark, sf_dir, "row_key", "late", "quantity"), "late", "row_key")
+    lines = materialize(order_items(spark, sf_dir, "row_key", "late", "quantity"), "lines")
+    rows = stratified_split(lines, "late", "row_key")
     path = f"{work_dir(spark)}/scaler"
     save_params(Standardizer.fit(rows.filter(F.col("split") == "train"), ["quantity"]).to_df(spark), path)
     return rounded(Standardizer.from_df(load_params(spark, path)).apply(rows).select("row_key", "quantity"), ["quantity"])

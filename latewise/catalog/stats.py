@@ -12,6 +12,7 @@ from latewise.operators import profile as P
 from latewise.operators import select
 from latewise.operators.scale import Standardizer
 from latewise.operators.split import stratified_split, unique_key
+from latewise.plans.binary import materialize
 from latewise.sources.order_items import binary_predictions, load, order_items
 
 
@@ -173,6 +174,7 @@ fitted AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for
 SELECT row_key, split, {", ".join(f"round(({c} - m_{c}) / s_{c}, 5) + 0.0 AS {c}" for c in _SCALED)} FROM split_rows, fitted""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four columns of all splits scaled with the statistics of the training split."""
-    rows = stratified_split(order_items(spark, sf_dir, "row_key", "late", *_SCALED), "late", "row_key")
+    lines = materialize(order_items(spark, sf_dir, "row_key", "late", *_SCALED), "lines")
+    rows = stratified_split(lines, "late", "row_key")
     scaler = Standardizer.fit(rows.filter(F.col("split") == "train"), _SCALED)
     return rounded(scaler.apply(rows), _SCALED, 5).drop("late")
