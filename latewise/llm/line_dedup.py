@@ -9,7 +9,8 @@ shorter lengths with the substrings that could match, a few for each segment (po
 either side). Keys are hashed and dealt out; keys that hold one line only are dropped there, which leaves the lines
 with a possible partner. Their texts are fetched, sorted inside each key by place, and each is compared with earlier
 ones of fitting length and letter counts until one is verified by bit-parallel edit distance in a band. So a large
-group of alike lines costs few verifications, and no pairs are written.
+group of alike lines costs few verifications, and no pairs are written. The lines of a key with more than ``dense``
+entries are cut into blocks, and each pair of blocks is a key of its own, so no task holds more than two blocks.
 
 Rows that agree in id and text are one document and keep the same lines. Null texts stay null and have no lines; null
 ids come first; an empty table gives no rows; other input columns travel in ``record``, so names never clash.
@@ -212,7 +213,22 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def near_lines(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def _in_blocks(entries: DataFrame, dense: int) -> DataFrame:
+    """Entries of crowded keys under a new key for each pair of blocks that holds them; the others as they are."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense)
+    crowded = written(sizes.select("key", F.ceil(F.col("n") / dense).cast("int").alias("blocks")))
+    if crowded.isEmpty():
+        return entries
+    pairs = (
+        entries.join(crowded, "key")
+        .withColumn("own", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return entries.join(crowded, "key", "left_anti").unionByName(pairs.select(key.alias("key"), "tag", "hash"))
+
+
+def near_lines(docs: DataFrame, threshold: int, min_chars: int, dense: int = 50_000) -> DataFrame:
     """(line): lines with an earlier, different line within the threshold. ``docs`` has id, content, text."""
     keys = docs.select("text").mapInArrow(_Keys(threshold, min_chars), "key long, tag long")
     shared = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, tag long"))
@@ -248,14 +264,15 @@ def near_lines(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
         .agg(F.min(F.struct("id", "content", "place")).alias("first"))
     )
     sorted_keys = (
-        entries.join(texts, "hash").select("key", "tag", "first", "line").repartition("key")
+        _in_blocks(entries, dense).join(texts, "hash").select("key", "tag", "first", "line").repartition("key")
         .sortWithinPartitions("key", "first")
     )
     return sorted_keys.select("key", "tag", "line").mapInArrow(_Verify(threshold), "line string").distinct()
 
 
 def dedup_lines(
-    docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text",
+    dense: int = 50_000,
 ) -> DataFrame:
     """(record, kept_text, n_lines, n_equal, n_near): every document, and its text without the lines that go."""
     given = docs.select(
@@ -266,7 +283,7 @@ def dedup_lines(
     lines = plain.select("id", "content", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).filter(
         F.length("line") >= min_chars
     ).select("id", "content", "place", *_hashes(F.col("line")))
-    near = near_lines(plain, threshold, min_chars).select(*_hashes(F.col("line")), F.lit(True).alias("near"))
+    near = near_lines(plain, threshold, min_chars, dense).select(*_hashes(F.col("line")), F.lit(True).alias("near"))
     place = F.struct("id", "content", "place")
     repeated = lines.groupBy("h1", "h2").agg(
         F.min(place).alias("first"), F.max(place).alias("last")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from latewise.llm.line_dedup import dedup_lines, probes, segments, within
@@ -72,18 +73,19 @@ def brute(docs, most, min_chars):
     return out
 
 
-def test_equal_brute_force(spark):
+@pytest.mark.parametrize("dense", [50_000, 5])
+def test_equal_brute_force(spark, dense):
     random.seed(7)
     base = ["".join(random.choice("abcd ") for _ in range(random.randint(5, 14))) for _ in range(25)]
     rows = []
     for i in range(90):
         lines = [changed(random.choice(base), random.choice([0, 0, 1, 2, 3]), "abcd ") for _ in range(random.randint(0, 6))]
         rows.append((i % 70 if i % 9 else None, "\n".join(lines)))
-    rows += [(3, None), (3, ""), rows[5], rows[5], (80, "\n".join(["x" * 20_000, "x" * 19_999, "y", "x" * 20_000]))]
+    rows += [(3, None), (3, ""), rows[5], rows[5], (80, "\n".join(["x" * 900, "x" * 899, "y", "x" * 900]))]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, kept_text int")
     hashed = df.select("doc_id", F.xxhash64("text").alias("content"), "text").collect()
     want = brute([tuple(r) for r in hashed], 2, 8)
-    out = dedup_lines(df, 2, 8).withColumn("content", F.xxhash64("record.text")).collect()
+    out = dedup_lines(df, 2, 8, dense=dense).withColumn("content", F.xxhash64("record.text")).collect()
     assert sorted(r.record.kept_text for r in out) == list(range(len(rows)))
     for r in out:
         assert want[r.record.doc_id, r.content] == (r.kept_text, r.n_lines, r.n_equal, r.n_near)
