@@ -157,7 +157,7 @@ class Tokenizer:
         pattern = self.pattern
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if pattern not in _ENCODERS:  # kept for the next tasks of this worker
+            if pattern not in _ENCODERS:  # the merge table is kept for the next tasks of this worker
                 _ENCODERS.clear()
                 _ENCODERS[pattern] = Encoder(shared.value, pattern)
             encoder = _ENCODERS[pattern]
@@ -166,6 +166,7 @@ class Tokenizer:
             for batch in _slices(batches):
                 ids = _lists([encoder(t) for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), ids], [*keys, "ids"])
+            encoder.known.clear()  # the worker lives on for other operators' tasks
 
         shape = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
         return rows.select(*keys, "text").mapInArrow(encode, f"{shape}ids array<int>")
