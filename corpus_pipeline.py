@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = dedup_lines(docs, threshold=2, min_chars=40)
+    out = dedup_lines(docs, threshold=2, min_chars=16, equal_chars=1)
     cells = {**{c: F.col("record").getField(c) for c in names}, "text": F.col("kept_text"),
              "n_chars": F.length("kept_text").cast("long")}
     return out.select(*(cells[c].alias(c) for c in docs.columns))

@@ -1,7 +1,8 @@
 """Line dedup: of lines that are equal or a few edits apart, the first one in the corpus stays.
 
 A line goes if an earlier line (by document id, then place in the text) equals it or lies within ``threshold`` edits
-of it, whether or not that earlier line goes itself. Lines shorter than ``min_chars`` code points always stay.
+of it, whether or not that earlier line goes itself. Exact copies go from ``equal_chars`` code points on (with 1: every
+line that is not blank), near ones from ``min_chars`` on; without ``equal_chars`` both begin at ``min_chars``.
 
 The edit join partitions segments. A line is cut into threshold + 1 segments; two lines within the threshold share a
 segment, so each line is indexed under (its length, segment number, segment) and probes the index of equal and
@@ -272,7 +273,7 @@ def near_lines(docs: DataFrame, threshold: int, min_chars: int, dense: int = 50_
 
 def dedup_lines(
     docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text",
-    dense: int = 50_000,
+    dense: int = 50_000, equal_chars: int | None = None,
 ) -> DataFrame:
     """(record, kept_text, n_lines, n_equal, n_near): every document, and its text without the lines that go."""
     given = docs.select(
@@ -280,8 +281,10 @@ def dedup_lines(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"),
     )
     plain = given.select("id", "content", "text")
+    # A blank line parts paragraphs and repeats nothing.
     lines = plain.select("id", "content", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).filter(
-        F.length("line") >= min_chars
+        (F.length("line") >= min_chars) if equal_chars is None
+        else (F.length("line") >= equal_chars) & F.col("line").rlike(r"[^ \t\n\x0B\f\r]")
     ).select("id", "content", "place", *_hashes(F.col("line")))
     near = near_lines(plain, threshold, min_chars, dense).select(*_hashes(F.col("line")), F.lit(True).alias("near"))
     place = F.struct("id", "content", "place")

@@ -101,5 +101,21 @@ def test_a_crowd_of_alike_lines(spark):
     assert kept == want
 
 
+def test_short_copies_go_in_the_query_and_the_stage(spark, tmp_path):
+    import corpus_pipeline
+    from latewise.llm.registered.line_dedup import op2
+
+    rows = [(1, "Les.\n\nAnd ornd."), (2, "Les.\n\nown\nLes."), (3, "  \n\nLes!\nAnd ornd."), (4, None)]
+    given = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    # Blank lines stay, and a short line that differs by an edit does.
+    want = {1: "Les.\n\nAnd ornd.", 2: "\nown", 3: "  \n\nLes!", 4: None}
+    out = corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    counts = {r.doc_id: (r.n_lines, r.n_equal, r.n_near) for r in op2(spark, str(tmp_path)).collect()}
+    assert counts == {1: (3, 0, 0), 2: (4, 2, 0), 3: (4, 1, 0), 4: (0, 0, 0)}
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
