@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from latewise.llm.decontaminate import find_passages
 from latewise.llm.line_dedup import dedup_lines
-from latewise.llm.quality import fit_ratio, score_quality
+from latewise.llm.quality import fit_ratio, fit_threshold, score_quality
 from latewise.llm.registered.bpe import round_trip
 from latewise.llm.registry import table
 from latewise.llm.simhash import near_duplicates
@@ -28,8 +28,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ratio = fit_ratio(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return score_quality(docs, ratio).filter("kept").select("record.*")
+    labels, texts = table(spark, sf_dir, "labels"), docs.select("doc_id", "text")
+    ratio = fit_ratio(texts, labels, hold_out=True)
+    return score_quality(docs, ratio, fit_threshold(texts, labels, ratio)).filter("kept").select("record.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
