@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from latewise.llm.registry import QUERIES, SQL
 
 _MODULES = [
-    "bpe", "chat", "decontaminate", "line_dedup", "lm", "minhash", "pii", "pipeline", "quality", "sharding", "simhash",
-    "warc",
+    "bpe", "chat", "collocations", "decontaminate", "line_dedup", "lm", "minhash", "pii", "pipeline", "prefix_trie", "quality",
+    "sharding", "simhash", "warc",
 ]
 
 

@@ -21,3 +21,22 @@ def may_hold(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes % SLOTS
     return (packed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
+
+
+def filter_of(hashes: DataFrame, column: str, bits: int = 25) -> np.ndarray:
+    """A bit for each value of the lowest ``bits`` bits of the hashes: 4 MB by default, built by the executors."""
+    slot = hashes.select((F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("s"))  # buckets are counted from 1
+    maps = slot.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")
+    )
+    packed = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in maps.toLocalIterator():
+        at = (row["bucket"] - 1) * 4096
+        packed[at : at + 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return packed
+
+
+def held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each unsigned hash may be among those of ``filter_of``."""
+    slot = hashes & np.uint64(8 * len(packed) - 1)
+    return (packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
