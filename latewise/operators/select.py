@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latewise.sources.tables import numeric_columns, to_xy
+from latewise.functions.stats import f_tail
+from latewise.sources.tables import numeric_columns
 
 # Fixed values of the study.
 VARIANCE_THRESHOLD = 0.01
 BEST_K = 50
+EFFECTIVE, WEAK = 0.05, 0.01
 
 
 def column_stats(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
@@ -53,8 +55,8 @@ def variance_filter(df: DataFrame, cols: list[str] | None = None, threshold: flo
     return [r["column"] for r in kept]
 
 
-def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """(place, column, f, variance) of the one-way F test of every column against the label.
+def _anova(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """(place, column, f, variance, df_between, df_within) of the one-way F test of every column against the label.
 
     One grouped pass gives count, mean and population variance per class; both sums of squares, and
     with them the variance over all rows, follow without subtracting large numbers. Infinite if classes differ and do not vary inside,
@@ -78,7 +80,21 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
         ))
     )
     variance = (F.col("between") + F.col("within")) / F.col("total")
-    return sums.select("place", "column", f.alias("f"), variance.alias("variance"))
+    return sums.select(
+        "place", "column", f.alias("f"), variance.alias("variance"),
+        (F.col("k") - 1).cast("double").alias("df_between"), (F.col("total") - F.col("k")).cast("double").alias("df_within"),
+    )
+
+
+def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """(place, column, f, variance) of the one-way F test of every column against the label."""
+    return _anova(df, cols, label).select("place", "column", "f", "variance")
+
+
+def p_values(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """(place, column, f, variance, p): the F test with the tail probability of its statistic, from the same pass."""
+    tested = _anova(df, cols, label)
+    return tested.select("place", "column", "f", "variance", f_tail(F.col("f"), F.col("df_between"), F.col("df_within")).alias("p"))
 
 
 def _ten_digits(f: Column) -> Column:
@@ -103,27 +119,15 @@ def select_k_best(df: DataFrame, cols: list[str], label: str, k: int = BEST_K) -
     return [r["column"] for r in best]
 
 
-def feature_validity(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """Columns with p < 0.05 ("effective") and with p > 0.01 ("weak") in the F test; the two overlap.
+def validity_counts() -> list[Column]:
+    """Aggregates over ``p_values``: columns with p < 0.05 and with p > 0.01. NaN (a constant column) is in neither."""
+    testable = ~F.isnan("p")
+    return [F.count_if(testable & (F.col("p") < EFFECTIVE)).alias("n_effective"), F.count_if(testable & (F.col("p") > WEAK)).alias("n_weak")]
 
-    The p values come from the built-in selector: weak columns are all testable ones minus those
-    selected at 0.01.
-    """
-    vectors = to_xy(df, label, cols).cache()
-
-    def selected(alpha: float) -> int:
-        selector = UnivariateFeatureSelector(
-            featuresCol="features", labelCol="label", outputCol="kept", selectionMode="fpr"
-        ).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(alpha)
-        return len(selector.fit(vectors).selectedFeatures)
-
-    try:
-        effective, weak = selected(0.05), selected(1.0) - selected(0.01)
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(
-        [(effective, weak, len(cols))], "n_effective int, n_weak int, n_columns int"
-    )
+
+def feature_validity(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """(n_effective, n_weak, n_columns): columns with p < 0.05 and with p > 0.01 in the F test; the two overlap."""
+    return p_values(df, cols, label).agg(*validity_counts(), F.count("*").alias("n_columns"))
 
 
 def select_features(

@@ -88,3 +88,21 @@ def test_softmax_argmax_normalize(spark):
     assert got[0] == pytest.approx([0.75, 0.25]) and got[1] == pytest.approx([0.5, 0.5])
     kept = spark.createDataFrame([([1.0, 2.0, 1.0],)], "p array<double>").select(L.normalize_probs(F.col("p"), [0, 2])).first()[0]
     assert kept == pytest.approx([0.25, 0.25])
+
+
+def test_tail_of_the_f_distribution(spark):
+    from latewise.functions.stats import f_tail, log_gamma
+
+    # Tabled critical values, and closed forms: (1 + f d1 / d2) ** (-d2 / 2) for d1 = 2.
+    rows = [(4.9646, 1.0, 10.0, 0.05), (3.4928, 2.0, 20.0, 0.05), (3.6990, 5.0, 30.0, 0.01), (1.0, 7.0, 7.0, 0.5),
+            (0.0, 1.0, 5.0, 1.0), (math.inf, 1.0, 5.0, 0.0), (3.8415, 1.0, 1e6, 0.05), (1e4, 1.0, 50_000.0, 0.0)]
+    rows += [(f, 2.0, d, (1 + 2 * f / d) ** (-d / 2)) for f in (0.01, 0.5, 2.0, 30.0) for d in (1.0, 5.0, 400.0, 60_000.0)]
+    df = spark.createDataFrame(rows, "f double, a double, b double, p double")
+    for r in df.select("p", f_tail(F.col("f"), F.col("a"), F.col("b")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=2e-5)
+    odd = spark.createDataFrame([(math.nan, 1.0, 5.0), (1.0, 0.0, 5.0), (1.0, 1.0, 0.0)], "f double, a double, b double")
+    got = [r[0] for r in odd.select(f_tail(F.col("f"), F.col("a"), F.col("b"))).collect()]
+    assert math.isnan(got[0]) and got[1:] == [None, None]
+    xs = [0.5, 1.0, 3.7, 250.0, 30_000.5]
+    gammas = spark.createDataFrame([(x,) for x in xs], "x double").select(log_gamma(F.col("x"))).collect()
+    assert [g[0] for g in gammas] == pytest.approx([math.lgamma(x) for x in xs], rel=1e-12)
