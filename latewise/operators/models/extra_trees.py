@@ -8,13 +8,13 @@ driver keeps only the trees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -187,3 +187,26 @@ class ExtraTreesModel:
         best = F.array_position("probability", F.array_max("probability")).cast("int")
         scored = df.withColumn("probability", probability(_vector(df, self.params.features)))
         return scored.withColumn("prediction", F.element_at(known, best))
+
+    def settings(self) -> dict:
+        return {"params": asdict(self.params), "classes": self.classes}
+
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """One row for each node that training rows reached."""
+        f = self.forest
+        rows = [
+            (int(t), int(i), int(f.feature[t, i]), float(f.threshold[t, i]), f.counts[t, i].tolist())
+            for t, i in zip(*np.nonzero(f.counts.sum(axis=2)))
+        ]
+        return {"nodes": spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, counts array<double>")}
+
+    @classmethod
+    def restore(cls, settings: dict, read: Callable[[str], DataFrame]) -> ExtraTreesModel:
+        params = ExtraTrees(**settings["params"])
+        shape = (params.n_trees, 2 ** (params.max_depth + 1) - 1)
+        forest = Forest(np.full(shape, -1, dtype=np.int64), np.zeros(shape), np.zeros((*shape, len(settings["classes"]))))
+        found = read("nodes").toPandas()
+        at = (found["tree"].to_numpy(), found["node"].to_numpy())
+        forest.feature[at], forest.threshold[at] = found["feature"].to_numpy(), found["threshold"].to_numpy()
+        forest.counts[at] = np.stack(found["counts"].to_numpy())
+        return cls(params, forest, settings["classes"])

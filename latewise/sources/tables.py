@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Iterable
 from datetime import datetime
 
@@ -95,13 +97,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def save_model(model: MLWritable, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str) -> None:
+    """Write a fitted model: the built-in ones their own way, the library's as settings (JSON) and tables (Parquet).
+
+    A model of the library has ``settings()`` and ``tables(spark)``; its class has ``restore(settings, read)``.
+    """
+    if isinstance(model, MLWritable):
+        model.write().overwrite().save(path)
+        return
+    spark = SparkSession.active()
+    kind = type(model)
+    head = [(kind.__module__, kind.__qualname__, json.dumps(model.settings()))]
+    spark.createDataFrame(head, "module string, name string, settings string").coalesce(1).write.mode("overwrite").json(f"{path}/own")
+    for name, table in model.tables(spark).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_model(spark: SparkSession, path: str):
-    """Any model or pipeline that ``save_model`` wrote."""
-    return DefaultParamsReader.loadParamsInstance(path, spark)
+    """Any model or pipeline that ``save_model`` wrote, also in another session."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/own")
+    if not own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own):
+        return DefaultParamsReader.loadParamsInstance(path, spark)
+    head = spark.read.schema("module string, name string, settings string").json(f"{path}/own").first()
+    kind = getattr(importlib.import_module(head["module"]), head["name"])
+    return kind.restore(json.loads(head["settings"]), lambda name: spark.read.parquet(f"{path}/{name}"))
 
 
 def stamped(path: str, when: datetime | None = None) -> str:
