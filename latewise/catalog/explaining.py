@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latewise.catalog import sql as S
-from latewise.catalog.modelling import FEATURES, binary_splits, parts
+from latewise.catalog.modelling import FEATURES, FIVE_FEATURES, binary_splits, five_splits, parts, unscaled
 from latewise.catalog.registry import query, r, rounded
 from latewise.functions import argmax
 from latewise.operators import explain as X
+from latewise.operators.models import DecisionTree, registry
 from latewise.operators.split import stratified_split
+from latewise.operators.tree_shap import tree_shap
 from latewise.plans.binary import materialize
 from latewise.sources.order_items import order_items
 
@@ -69,14 +72,19 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """The rows with the model's prediction beside the label."""
+    return rows.withColumn("prob", MODEL.probability()).withColumn("y_pred", argmax(F.col("prob"))).drop("prob")
+
+
 def predictions(rows: DataFrame) -> DataFrame:
     scored = rows.select("row_key", "y_true", MODEL.probability().alias("prob"))
     return scored.withColumn("y_pred", argmax(F.col("prob")))
 
 
-def gradients(rows: DataFrame) -> X.Explanations:
+def gradients(rows: DataFrame, keep: tuple[str, ...] = ()) -> X.Explanations:
     background = X.background_sample(rows.filter(F.col("split") == "train"), "row_key", NAMES, BACKGROUND)
-    return X.expected_gradients(rows, background, MODEL, steps=STEPS)
+    return X.expected_gradients(rows, background, MODEL, steps=STEPS, keep=keep)
 
 
 @query("shap_expected_gradients", f"""WITH {_SLOPES}
@@ -96,9 +104,9 @@ def shap_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("row_key", r("base").alias("base"), *[r(F.get("shap", F.lit(i))).alias(n) for i, n in enumerate(NAMES)])
 
 
-def linear(rows: DataFrame) -> X.Explanations:
+def linear(rows: DataFrame, keep: tuple[str, ...] = ()) -> X.Explanations:
     """Linear contributions against the means of the training rows."""
-    return X.linear_shap(rows, rows.filter(F.col("split") == "train"), NAMES, WEIGHTS, INTERCEPT)
+    return X.linear_shap(rows, rows.filter(F.col("split") == "train"), NAMES, WEIGHTS, INTERCEPT, keep=keep)
 
 
 @query("shap_base", f"""WITH {_INPUT}
@@ -134,8 +142,8 @@ SELECT row_key, CAST(step AS INTEGER) AS step, feature, CASE WHEN y_true <> y_pr
   round(base + sum(shap) OVER (PARTITION BY row_key ORDER BY step ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS output
 FROM explained JOIN importance USING (feature) JOIN pred USING (row_key)""")
 def shap_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs(spark, sf_dir)
-    return rounded(X.shap_decision(linear(rows), predictions(rows)).drop("class"), ["output"], 9)
+    explained = linear(judged(inputs(spark, sf_dir)), keep=("y_true", "y_pred"))
+    return rounded(X.shap_decision(explained).drop("class"), ["output"], 9)
 
 
 _BARS = """bars AS (
@@ -148,8 +156,7 @@ SELECT row_key, class, CAST(rank AS INTEGER) AS place, feature, round(base, 6) A
 UNION ALL SELECT row_key, class, 3, '3 other features', round(base, 6), round(sum(shap), 6) + 0.0 FROM bars WHERE rank > 2 GROUP BY row_key, class, base""")
 def shap_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two largest contributions to the predicted class of every row, and the rest."""
-    rows = inputs(spark, sf_dir)
-    explained = gradients(rows).predicted_only(predictions(rows))
+    explained = gradients(judged(inputs(spark, sf_dir)), keep=("y_pred",)).predicted_only()
     return rounded(X.shap_waterfall(explained, max_display=3), ["base", "shap"])
 
 
@@ -168,8 +175,7 @@ def error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three misclassified rows with the contributions to the class they were given."""
     rows = inputs(spark, sf_dir)
     background = X.background_sample(rows.filter(F.col("split") == "train"), "row_key", NAMES, BACKGROUND)
-    scored = rows.withColumn("prob", MODEL.probability()).withColumn("y_pred", argmax(F.col("prob"))).drop("prob")
-    table = X.error_cases(scored, lambda few: X.expected_gradients(few, background, MODEL, steps=STEPS))
+    table = X.error_cases(judged(rows), lambda few: X.expected_gradients(few, background, MODEL, steps=STEPS))
     return rounded(table.select("row_key", "y_true", "y_pred", "place", "feature", "shap"), ["shap"])
 
 
@@ -181,6 +187,48 @@ def misclassified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return misclassified(binary_predictions(spark, sf_dir)).drop("prob")
 
 
+def _fitted_softmax(table: DataFrame, label: str, features: list[str], steps: int) -> DataFrame:
+    """Summary of the expected gradients of a logistic regression fitted on the training rows, for all test rows; ``off`` is
+    how far contributions and base together stay from the probability at most (the error of the grid)."""
+    split = parts(table, label, features)
+    fitted = registry(split["train"].count(), 2)["LogisticRegression"].fit(split["train"])
+    model = X.SoftmaxModel.from_logistic(fitted, features)
+    background = X.background_sample(table.filter(F.col("split") == "train"), "row_key", features, BACKGROUND)
+    test = table.filter(F.col("split") == "test").withColumn("probability", model.probability())
+    explained = X.expected_gradients(test, background, model, steps=steps, keep=("probability",))
+    explained = X.Explanations(materialize(explained.table, "explained"), explained.features, explained.key)
+    total = F.aggregate("shap", F.col("base"), lambda s, v: s + v)
+    off = explained.table.groupBy("class").agg(F.max(F.abs(total - F.get("probability", F.col("class")))).alias("off"))
+    return rounded(X.shap_summary(explained).join(off, "class"), ["importance", "mean_shap", "mean_value", "off"], 4)
+
+
+@query("shap_fitted")
+def shap_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions to both probabilities of a fitted logistic regression, all test rows."""
+    return _fitted_softmax(binary_splits(spark, sf_dir), "late", FEATURES, 50)
+
+
+@query("shap_five_class")
+def shap_five_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the five-class model."""
+    return _fitted_softmax(five_splits(spark, sf_dir), "stability", FIVE_FEATURES, 20)
+
+
+@query("shap_tree")
+def shap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact contributions of a fitted tree on all test rows against all training rows, by class and feature, and how far
+    contributions and base together stay from the predicted probability at most."""
+    split = unscaled(spark, sf_dir, "late", FEATURES)
+    model = DecisionTree(max_depth=5).fit(split["train"])
+    cols = [vector_to_array("features")[i].alias(c) for i, c in enumerate(FEATURES)]
+    train, test = (split[p].select("row_key", "features", *cols) for p in ("train", "test"))
+    explained = tree_shap(model, model.transform(test), train, FEATURES, keep=("probability",))
+    explained = X.Explanations(materialize(explained.table, "explained"), explained.features, explained.key)
+    total = F.aggregate("shap", F.col("base"), lambda s, v: s + v)
+    off = explained.table.groupBy("class").agg(F.max(F.abs(total - F.get("probability", F.col("class")))).alias("off"))
+    return rounded(X.shap_summary(explained).join(off, "class"), ["importance", "mean_shap", "mean_value", "off"])
+
+
 @query("shap_permutation")
 def shap_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute contribution per class and feature of a fitted tree, over all test rows."""

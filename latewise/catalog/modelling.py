@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latewise.catalog import sql as S
-from latewise.catalog.evaluation import _FIVE, _RECORD
+from latewise.catalog.evaluation import _FIVE, _RECORD, record_sql
 from latewise.catalog.registry import query, r, rounded
 from latewise.catalog.stats import feature_means
 from latewise.catalog.tables import stability_parts
 from latewise.operators import metrics, results
-from latewise.operators.models import NearestNeighbours, feature_importance, fit_mlp, registry, score
+from latewise.operators.features import LABEL
+from latewise.operators.models import (
+    DecisionTree, GradientBoosting, NearestNeighbours, feature_importance, fit_mlp, registry, score,
+)
 from latewise.operators.scale import Standardizer
 from latewise.operators.split import stratified_split
 from latewise.plans.binary import data_quality as quality_report
 from latewise.plans.binary import engineered, materialize, prepare_binary
-from latewise.plans.experiment import run_ablation, run_models
+from latewise.plans.experiment import run_ablation, run_models, run_study
 from latewise.plans.five_class import prepare_five_class
 from latewise.session import work_dir
 from latewise.sources.order_items import binary_predictions, load, multi_predictions, order_items
@@ -148,23 +150,31 @@ _QUALITY_F = [*_NUM, *_NUM_LATER[:-1], "is_weekend_order", "on_time_delivery"]
 
 
 @query("data_quality", f"""
-WITH {ENGINEERED},
+WITH RECURSIVE {ENGINEERED},
 long AS (UNPIVOT (SELECT delivery_risk, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _QUALITY_F)} FROM engineered)
   ON COLUMNS(* EXCLUDE (delivery_risk)) INTO NAME feature VALUE x),
 stats AS (SELECT feature, delivery_risk, count(*)::DOUBLE AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY 1, 2),
 centre AS (SELECT feature, sum(n * m) / sum(n) AS c FROM stats GROUP BY 1),
 scores AS (
-  SELECT feature, sum(n * pow(m - c, 2)) AS between_ss, sum(n * v) AS within_ss, sum(n) AS n, count(*) AS k FROM stats JOIN centre USING (feature) GROUP BY 1)
+  SELECT feature, sum(n * pow(m - c, 2)) AS between_ss, sum(n * v) AS within_ss, sum(n) AS n, count(*) AS k FROM stats JOIN centre USING (feature) GROUP BY 1),
+tested_f AS (
+  SELECT feature, n, k, CASE WHEN within_ss = 0 THEN 'Infinity'::DOUBLE ELSE between_ss * (n - k) / (within_ss * (k - 1)) END AS f FROM scores),
+{S.f_tails("tested_f")}
 SELECT 'shape' AS section, 'rows' AS item, count(*)::DOUBLE AS value FROM engineered
 UNION ALL SELECT 'shape', 'columns', count(*)::DOUBLE FROM (DESCRIBE engineered)
 UNION ALL SELECT 'missing', 'order_processing_days_binned', count(*)::DOUBLE FROM engineered WHERE order_processing_days_binned IS NULL
 UNION ALL SELECT 'class_rows', CAST(delivery_risk AS VARCHAR), count(*)::DOUBLE FROM engineered GROUP BY 2
 UNION ALL SELECT 'class_share', CAST(delivery_risk AS VARCHAR), round(count(*) / (SELECT count(*) FROM engineered)::DOUBLE, 4) FROM engineered GROUP BY 2
-UNION ALL SELECT 'f_score', feature, round(CASE WHEN within_ss = 0 THEN 'Infinity'::DOUBLE ELSE between_ss * (n - k) / (within_ss * (k - 1)) END, 4) FROM scores""")
+UNION ALL SELECT 'f_score', feature, round(f, 4) FROM tested_f
+UNION ALL SELECT 'validity', 'effective', count(*) FILTER (p < 0.05)::DOUBLE FROM tails
+UNION ALL SELECT 'validity', 'weak', count(*) FILTER (p > 0.01)::DOUBLE FROM tails""")
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality_report(materialize(engineered(order_items(spark, sf_dir)), "engineered")), ["value"], 4)
 
 
+# Columns that restate the label: what they are encoded to is left out of the study's models.
+LEAKING = ("on_time_delivery_0", "on_time_delivery_1", "on_time_delivery_nan")
+
 FEATURES = [
     "processing_days", "days_for_shipment_scheduled", "order_item_product_price", "order_item_discount",
     "order_profit_per_order", "latitude_src", "longitude_src", "latitude_dest", "longitude_dest", "quantity", "tax",
@@ -180,14 +190,14 @@ def binary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(table, "binary-splits")
 
 
-_FIVE_FEATURES = ["quantity", "line_number", "processing_days", "tax", "discount_rate"]
+FIVE_FEATURES = ["quantity", "line_number", "processing_days", "tax", "discount_rate"]
 
 
 def five_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = materialize(order_items(spark, sf_dir, "row_key", *_FIVE_FEATURES, "stability"), "lines")
+    lines = materialize(order_items(spark, sf_dir, "row_key", *FIVE_FEATURES, "stability"), "lines")
     rows = stratified_split(lines, "stability", "row_key")
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in _FIVE_FEATURES})
-    table = Standardizer.fit(rows.filter(F.col("split") == "train"), _FIVE_FEATURES).apply(rows)
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in FIVE_FEATURES})
+    table = Standardizer.fit(rows.filter(F.col("split") == "train"), FIVE_FEATURES).apply(rows)
     return materialize(table, "five-splits")
 
 
@@ -197,7 +207,7 @@ def parts(table: DataFrame, label: str, features: list[str]) -> dict[str, DataFr
 
 def _model_metrics(name: str, five: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     if five:
-        split = parts(five_splits(spark, sf_dir), "stability", _FIVE_FEATURES)
+        split = parts(five_splits(spark, sf_dir), "stability", FIVE_FEATURES)
     else:
         split = parts(binary_splits(spark, sf_dir), "late", FEATURES)
     n_train = split["train"].count()
@@ -206,17 +216,78 @@ def _model_metrics(name: str, five: bool, spark: SparkSession, sf_dir: str) -> D
 
 
 for _key, _model in (
-    ("model_gbt", "boosted_trees"), ("model_gbt_fine", "boosted_trees_fine"), ("model_rf", "RandomForest"), ("model_dt", "DecisionTree"),
+    ("model_gbt", "boosted_trees"), ("model_gbt_fine", "boosted_trees_fine"), ("model_rf", "RandomForest"),
     ("model_lr", "LogisticRegression"), ("model_extratrees", "ExtraTrees"), ("model_knn", "KNN"), ("model_nb", "NaiveBayes"),
 ):
     query(_key)(partial(_model_metrics, _model, False))
 for _key, _model in (
-    ("model_rf_five", "RandomForest"), ("model_dt_five", "DecisionTree"), ("model_lr_five", "LogisticRegression"),
+    ("model_gbt_five", "boosted_trees"), ("model_rf_five", "RandomForest"), ("model_lr_five", "LogisticRegression"),
     ("model_extratrees_five", "ExtraTrees"), ("model_nb_five", "NaiveBayes"),
 ):
     query(_key)(partial(_model_metrics, _model, True))
 
 
+def unscaled(spark: SparkSession, sf_dir: str, label: str, features: list[str]) -> dict[str, DataFrame]:
+    """Split rows as they are: a tree's cuts do not depend on scaling."""
+    lines = materialize(order_items(spark, sf_dir, "row_key", *features, label), "lines")
+    return parts(materialize(stratified_split(lines, label, "row_key"), "unscaled"), label, features)
+
+
+_LATE_ROWS = f"{S.ORDER_ITEMS}, {S.split('order_items', 'late', 'row_key')}"
+_FIVE_ROWS = f"{S.ORDER_ITEMS}, {S.split('order_items', 'stability', 'row_key')}"
+_LATE_TREE = f"{_LATE_ROWS}, {S.tree('t', FEATURES, 'late', 2)}"
+_RECORDED = f"""model, n, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _RECORD)}, confusion_matrix"""
+
+
+def _tree_record(label: str, features: list[str], n_classes: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = unscaled(spark, sf_dir, label, features)
+    models = {"DecisionTree": DecisionTree(max_depth=5)}
+    records = run_models(models, split["train"], split["test"], n_classes, on_error="raise")
+    return rounded(records.select("model", "n", *_RECORD, "confusion_matrix"), _RECORD)
+
+
+query("model_dt", f"""WITH {_LATE_TREE}, scored AS (SELECT 'DecisionTree' AS model, y_true, y_pred, p1 AS score, y_true AS positive FROM t_pred), """
+      + record_sql("scored", "model,", "scored", "model,", "final AS (SELECT model, roc_auc, average_precision AS pr_auc FROM areas)")
+      + f" SELECT {_RECORDED} FROM record")(partial(_tree_record, "late", FEATURES, 2))
+query("model_dt_five", f"""WITH {_FIVE_ROWS}, {S.tree("t", FIVE_FEATURES, "stability", 5)},
+scored AS (SELECT 'DecisionTree' AS model, * FROM t_pred),
+cells AS ({" UNION ALL ".join(f"SELECT model, {c} AS class, p{c} AS score, CASE WHEN y_true = {c} THEN 1 ELSE 0 END AS positive FROM scored" for c in range(5))}), """
+      + record_sql("scored", "model,", "cells", "model, class,",
+                   "final AS (SELECT model, sum(roc_auc * positives) / sum(positives) AS roc_auc, "
+                   "sum(average_precision * positives) / sum(positives) AS pr_auc FROM areas GROUP BY 1)")
+      + f" SELECT {_RECORDED} FROM record")(partial(_tree_record, "stability", FIVE_FEATURES, 5))
+
+
+_ROUND = ["quantity", "line_number", "processing_days", "days_for_shipment_scheduled", "tax", "discount_rate"]
+
+
+@query("boosting_round", f"""WITH {_LATE_ROWS},
+long AS (SELECT late AS y, list_position([{", ".join(f"'{c}'" for c in _ROUND)}], feature) AS j, feature, v FROM (
+  UNPIVOT (SELECT late, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _ROUND)} FROM split_rows WHERE split = 'train')
+  ON COLUMNS(* EXCLUDE (late)) INTO NAME feature VALUE v)),
+per_value AS (SELECT j, feature, v, count(*) AS n, sum(0.5::DOUBLE - y) AS g, sum(0.25::DOUBLE) AS h FROM long GROUP BY 1, 2, 3),
+runs AS (
+  SELECT j, feature, v, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER p AS n, sum(g) OVER p AS g, sum(h) OVER p AS h
+  FROM per_value WINDOW p AS (PARTITION BY j), w AS (PARTITION BY j ORDER BY v ROWS UNBOUNDED PRECEDING)),
+best AS (
+  SELECT * FROM runs WHERE nl < n ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) DESC, j, v LIMIT 1)
+SELECT 'left' AS side, feature, v AS threshold, CAST(nl AS BIGINT) AS n, round(gl, 6) AS grad, round(hl, 6) AS hess,
+  round(-0.1 * gl / (hl + 1), 6) + 0.0 AS value FROM best
+UNION ALL SELECT 'right', feature, v, CAST(n - nl AS BIGINT), round(g - gl, 6), round(h - hl, 6), round(-0.1 * (g - gl) / (h - hl + 1), 6) + 0.0 FROM best""")
+def boosting_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round of boosting with one cut: both leaves with their gradient, Hessian and value."""
+    train = unscaled(spark, sf_dir, "late", _ROUND)["train"]
+    model = GradientBoosting(n_trees=1, max_depth=1, learning_rate=0.1, row_share=1.0, column_share=1.0).fit(train)
+    tree = model.trees[0][0]
+    cut = model.edges[tree.feature[0]][tree.bin[0]]
+    rows = [
+        (side, _ROUND[tree.feature[0]], float(cut), int(tree.rows[i]), float(tree.grad[i]), float(tree.hess[i]), float(tree.value[i]))
+        for side, i in (("left", 1), ("right", 2))
+    ]
+    leaves = spark.createDataFrame(rows, "side string, feature string, threshold double, n long, grad double, hess double, value double")
+    return rounded(leaves, ["grad", "hess", "value"])
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").withColumn("vec_key", F.col("vec_id").cast("string"))
     return stratified_split(rows, "label", "vec_key")
@@ -282,12 +353,11 @@ def model_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(results.metrics_record(score(model, split["test"]), 2), _RECORD)
 
 
-@query("score_split")
+@query("score_split", f"WITH {_LATE_TREE} SELECT row_key, y_true, y_pred, round(p1, 6) + 0.0 AS p_late FROM t_pred")
 def score_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with true and predicted class and the probability of being late."""
-    split = parts(binary_splits(spark, sf_dir), "late", FEATURES)
-    model = DecisionTreeClassifier(maxDepth=5, seed=42).fit(split["train"])
-    pred = score(model, split["test"], keep=("row_key",))
+    split = unscaled(spark, sf_dir, "late", FEATURES)
+    pred = score(DecisionTree(max_depth=5).fit(split["train"]), split["test"], keep=("row_key",))
     return pred.select("row_key", "y_true", "y_pred", r(F.col("prob")[1]).alias("p_late"))
 
 
@@ -299,6 +369,25 @@ def run_some_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_models(models, split["train"], split["test"], 2, ["DecisionTree", "LogisticRegression", "NaiveBayes"], on_error="raise")
 
 
+@query("study_binary")
+def study_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw order lines to the comparison of models on the prepared table (all selected columns)."""
+    prepared = prepare_binary(order_items(spark, sf_dir), exclude=LEAKING)
+    prepared = replace(prepared, table=materialize(prepared.table, "prepared"))
+    table = run_study(prepared, LABEL, 2, ["DecisionTree", "LogisticRegression", "NaiveBayes"])
+    return rounded(table.drop("train_time"), [c for c in results.COMPARED if c != "train_time"], 4)
+
+
+@query("study_five_class")
+def study_five_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the five classes, from the two raw tables."""
+    a, b = stability_parts(spark, sf_dir)
+    prepared = prepare_five_class(a, b, "stability", key="row_key")
+    prepared = replace(prepared, table=materialize(prepared.table, "prepared"))
+    table = run_study(prepared, "stability", 5, ["DecisionTree", "LogisticRegression", "NaiveBayes"])
+    return rounded(table.drop("train_time"), [c for c in results.COMPARED if c != "train_time"], 4)
+
+
 _GROUPS = {
     "time": ["processing_days", "days_for_shipment_scheduled"],
     "money": ["order_item_product_price", "order_item_discount", "order_profit_per_order", "tax"],
@@ -306,11 +395,19 @@ _GROUPS = {
 }
 
 
-@query("ablation_run")
+_VARIANTS = {"full": FEATURES, **{f"no_{g}": [c for c in FEATURES if c not in cols] for g, cols in _GROUPS.items()}}
+
+
+@query("ablation_run", f"""WITH {_LATE_ROWS}, {", ".join(S.tree(v, cols, "late", 2) for v, cols in _VARIANTS.items())},
+scored AS ({" UNION ALL ".join(f"SELECT '{v}' AS model, y_true, y_pred, p1 AS score, y_true AS positive FROM {v}_pred" for v in _VARIANTS)}), """
+       + record_sql("scored", "model,", "scored", "model,", "final AS (SELECT model, roc_auc, average_precision AS pr_auc FROM areas)")
+       + f""" SELECT v.model AS variant, {", ".join(f"round(f.{m} - v.{m}, 6) + 0.0 AS {m}_decline" for m in results.ABLATION_METRICS)}
+FROM record v JOIN record f ON f.model = 'full' WHERE v.model <> 'full'""")
 def ablation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decision tree without each feature group; decline of its metrics against the full one."""
-    table = binary_splits(spark, sf_dir)
-    records = run_ablation(lambda: DecisionTreeClassifier(maxDepth=5, seed=42), table, FEATURES, _GROUPS, "late")
+    lines = materialize(order_items(spark, sf_dir, "row_key", *FEATURES, "late"), "lines")
+    table = materialize(stratified_split(lines, "late", "row_key"), "unscaled")
+    records = run_ablation(lambda: DecisionTree(max_depth=5), table, FEATURES, _GROUPS, "late")
     return rounded(results.ablation_deltas(records, "full"), [f"{m}_decline" for m in results.ABLATION_METRICS])
 
 
@@ -327,15 +424,13 @@ def scaler_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Standardizer.from_df(load_params(spark, path)).apply(rows).select("row_key", "quantity"), ["quantity"])
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"WITH {_LATE_TREE} SELECT y_true, y_pred, count(*) AS count FROM t_pred GROUP BY 1, 2")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test rows per class as predicted by a fitted pipeline that was saved and loaded."""
-    table = binary_splits(spark, sf_dir).withColumn("label", F.col("late").cast("double"))
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"), DecisionTreeClassifier(maxDepth=5, seed=42)]
+    """Test rows per class as predicted by a fitted tree that was saved and loaded."""
+    split = unscaled(spark, sf_dir, "late", FEATURES)
     path = f"{work_dir(spark)}/model"
-    save_model(Pipeline(stages=stages).fit(table.filter(F.col("split") == "train")), path)
-    loaded = load_model(spark, path)
-    return score(loaded, table.filter(F.col("split") == "test")).groupBy("y_true", "y_pred").count()
+    save_model(DecisionTree(max_depth=5).fit(split["train"]), path)
+    return score(load_model(spark, path), split["test"]).groupBy("y_true", "y_pred").count()
 
 
 @query("results_json", f"""

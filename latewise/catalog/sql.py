@@ -181,3 +181,81 @@ split_rows AS (
   SELECT s.* EXCLUDE (rn), CASE WHEN rn <= n_test THEN 'test' WHEN rn <= n_test + n_val THEN 'val' ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}|' || {key})) AS rn FROM {source}) s
   JOIN quota ON c = s.{label})"""
+
+
+def f_tails(source: str) -> str:
+    """CTE ``tails`` (feature, f, p) on top of ``source`` (feature, f, k classes, n rows): the tail of the F distribution.
+
+    The incomplete beta function is taken from its continued fraction, two terms a step (Lentz); needs WITH RECURSIVE.
+    """
+    return f"""
+tested AS (
+  SELECT feature, f, (n - k) / 2::DOUBLE AS a0, (k - 1) / 2::DOUBLE AS b0, (n - k) / ((n - k) + (k - 1) * f) AS x0,
+    (k - 1) * f / ((n - k) + (k - 1) * f) AS y0 FROM {source} WHERE f > 0 AND NOT isinf(f) AND NOT isnan(f)),
+sided AS (
+  SELECT *, x0 < (a0 + 1) / (a0 + b0 + 2) AS direct, CASE WHEN x0 < (a0 + 1) / (a0 + b0 + 2) THEN a0 ELSE b0 END AS a,
+    CASE WHEN x0 < (a0 + 1) / (a0 + b0 + 2) THEN b0 ELSE a0 END AS b,
+    CASE WHEN x0 < (a0 + 1) / (a0 + b0 + 2) THEN x0 ELSE y0 END AS x FROM tested),
+steps AS (
+  SELECT feature, a, b, x, 0::DOUBLE AS m, 1::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM sided
+  UNION ALL
+  SELECT feature, a, b, x, m, 1 + odd / c, 1 / (1 + odd * d), h * (1 + odd / c) / (1 + odd * d) FROM (
+    SELECT feature, a, b, x, m, odd, 1 + even / c AS c, 1 / (1 + even * d) AS d, h * (1 + even / c) / (1 + even * d) AS h FROM (
+      SELECT feature, a, b, x, c, d, h, m + 1 AS m,
+        (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)) AS even,
+        -(a + m + 1) * (a + b + m + 1) * x / ((a + 2 * m + 2) * (a + 2 * m + 3)) AS odd
+      FROM steps WHERE m < 100))),
+tails AS (
+  SELECT feature, f, CASE WHEN direct THEN part ELSE 1 - part END AS p FROM (
+    SELECT s.feature, f, direct,
+      exp(lgamma(a0 + b0) - lgamma(a0) - lgamma(b0) + a0 * ln(x0) + b0 * ln(y0)) * h / s.a AS part
+    FROM sided s JOIN steps t ON t.feature = s.feature AND t.m = 100)
+  UNION ALL SELECT feature, f, CASE WHEN isinf(f) THEN 0 ELSE 1 END FROM {source} WHERE isinf(f) OR f <= 0)"""
+
+
+def tree(name: str, features: list[str], label: str, n_classes: int, depth: int = 5, source: str = "split_rows") -> str:
+    """CTEs that grow a decision tree with exact splits on the training rows of ``source``, a level at a time.
+
+    The last, ``{name}_pred``, has row_key, y_true, y_pred and p0, p1, … of the test rows. Needs ``{name}_long``'s
+    columns as doubles; cuts are ordered by purity, column, value, and lie in the middle of two values.
+    """
+    classes = range(n_classes)
+    order = "[" + ", ".join(f"'{c}'" for c in features) + "]"
+    left, right = [f"l{c}" for c in classes], [f"(t{c} - l{c})" for c in classes]
+
+    def purity(counts: list[str]) -> str:
+        return f"(({' + '.join(f'{c}::DOUBLE * {c}' for c in counts)}) / ({' + '.join(counts)})::DOUBLE)"
+
+    parts = [f"""
+{name}_long AS MATERIALIZED (
+  SELECT row_key, list_position({order}, feature) AS j, v FROM (
+    UNPIVOT (SELECT row_key, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in features)} FROM {source})
+    ON COLUMNS(* EXCLUDE (row_key)) INTO NAME feature VALUE v)),
+{name}_n0 AS MATERIALIZED (SELECT row_key, CAST({label} AS INTEGER) AS y, split, 0 AS node FROM {source})"""]
+    for level in range(depth):
+        n = f"{name}_n{level}"
+        parts.append(f"""
+{name}_c{level} AS (
+  SELECT node, j, v, {", ".join(f"count(*) FILTER (y = {c}) AS c{c}" for c in classes)}
+  FROM {n} JOIN {name}_long USING (row_key) WHERE split = 'train' AND node >= {2**level - 1}
+    AND node IN (SELECT node FROM {n} WHERE split = 'train' GROUP BY 1 HAVING count(DISTINCT y) > 1) GROUP BY 1, 2, 3),
+{name}_r{level} AS (
+  SELECT node, j, v, lead(v) OVER (PARTITION BY node, j ORDER BY v) AS later,
+    {", ".join(f"sum(c{c}) OVER (PARTITION BY node, j ORDER BY v ROWS UNBOUNDED PRECEDING) AS l{c}" for c in classes)},
+    {", ".join(f"sum(c{c}) OVER (PARTITION BY node, j) AS t{c}" for c in classes)} FROM {name}_c{level}),
+{name}_b{level} AS MATERIALIZED (
+  SELECT node, j, CASE WHEN (v + later) / 2 >= later THEN v ELSE (v + later) / 2 END AS cut FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY {purity(left)} + {purity(right)} DESC, j, v) AS place
+    FROM {name}_r{level} WHERE later IS NOT NULL) WHERE place = 1),
+{name}_n{level + 1} AS MATERIALIZED (
+  SELECT n.row_key, y, split, CASE WHEN b.node IS NULL THEN n.node WHEN x.v <= cut THEN 2 * n.node + 1 ELSE 2 * n.node + 2 END AS node
+  FROM {n} n LEFT JOIN {name}_b{level} b ON b.node = n.node LEFT JOIN {name}_long x ON x.row_key = n.row_key AND x.j = b.j)""")
+    leaves = f"{name}_n{depth}"
+    shares = [f"count(*) FILTER (y = {c}) / count(*)::DOUBLE AS p{c}" for c in classes]
+    best = "greatest(" + ", ".join(f"p{c}" for c in classes) + ")"
+    parts.append(f"""
+{name}_leaves AS (SELECT node, {", ".join(shares)} FROM {leaves} WHERE split = 'train' GROUP BY 1),
+{name}_pred AS (
+  SELECT row_key, y AS y_true, CASE {best} {" ".join(f"WHEN p{c} THEN {c}" for c in classes)} END AS y_pred,
+    {", ".join(f"p{c}" for c in classes)} FROM {leaves} JOIN {name}_leaves USING (node) WHERE split = 'test')""")
+    return ",".join(parts)

@@ -137,9 +137,21 @@ def feature_means(df: DataFrame, *by: str, digits: int = 4) -> DataFrame:
     return means.select(*by, "n", F.explode("m").alias("m")).select(*by, "n", "m.feature", r("m.mean", digits).alias("mean"))
 
 
-@query("feature_validity")
+_TESTED = f"""{_LONG}, {_F}, counted AS (
+  SELECT feature, f, k, n FROM scores JOIN (SELECT feature, k, n FROM sums) USING (feature)), {S.f_tails("counted")}"""
+
+
+@query("feature_p_values", f"""WITH RECURSIVE {_TESTED} SELECT feature AS "column", round(p, 6) + 0.0 AS p FROM tails""")
+def feature_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The p value of every testable column in the F test."""
+    tested = select.p_values(_numeric(spark, sf_dir, "late"), [*NUMERIC, "is_shipping_date_holiday"], "late")
+    return tested.filter(~F.isnan("p")).select("column", r("p").alias("p"))
+
+
+@query("feature_validity", f"""WITH RECURSIVE {_TESTED}
+SELECT count(*) FILTER (p < 0.05) AS n_effective, count(*) FILTER (p > 0.01) AS n_weak, (SELECT count(*) FROM places) AS n_columns FROM tails""")
 def feature_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effective and weak columns by p value. The tail of the F distribution is not SQL."""
+    """Effective and weak columns by p value."""
     return select.feature_validity(_numeric(spark, sf_dir, "late"), [*NUMERIC, "is_shipping_date_holiday"], "late")
 
 

@@ -129,6 +129,15 @@ def fill_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.fill_numeric(_with_nulls(spark, sf_dir), "stability")
 
 
+@query("fill_null_counts", f"""
+WITH {_NULLS}
+SELECT 'leading' AS part, 5 * count(*) - count(row_key) - count(discount_rate) - count(delivery_status) - count(quantity) - count(stability) AS n_null
+FROM holes UNION ALL SELECT 'numeric', 2 * count(*) - count(tax) - count(order_id) FROM holes""")
+def fill_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nulls that the two fills find."""
+    return clean.null_totals(_with_nulls(spark, sf_dir), "stability")
+
+
 def stability_parts(spark: SparkSession, sf_dir: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     """Two overlapping five-class tables: lines of type A or R, and lines of type A or N."""
     cols = ["discount_rate", "tax", "quantity", "line_number", "supplier_id", "order_item_product_price", "stability", "row_key"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latewise.sources.tables import numeric_columns, require_columns
@@ -50,6 +50,22 @@ def fill_numeric(df: DataFrame, label: str | None = None) -> DataFrame:
     return df.fillna(0, subset=targets) if targets else df
 
 
+def null_totals(df: DataFrame, label: str | None = None, n: int = 5) -> DataFrame:
+    """(part, n_null): the nulls that ``fill_leading`` and then ``fill_numeric`` find, from one pass.
+
+    A leading numeric column is filled by the first, so the second finds none there.
+    """
+    leading = df.columns[:n]
+    numeric = [c for c in numeric_columns(df, [label] if label else []) if c not in leading]
+
+    def nulls(cols: list[str]) -> Column:
+        return sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0)).cast("long")
+
+    counts = df.agg(nulls(leading).alias("leading"), nulls(numeric).alias("numeric"))
+    parts = [F.struct(F.lit(c).alias("part"), F.col(c).alias("n_null")) for c in ("leading", "numeric")]
+    return counts.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+
+
 def merge_dedup(a: DataFrame, b: DataFrame) -> DataFrame:
     """Append by column name (absent columns become null) and keep one of each set of equal rows.
 

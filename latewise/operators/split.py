@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CLASSES = 1_000
-# Rows are first counted by this many leading hex digits of their hash.
-PREFIX = 4
+# Rows are first counted by this many leading hex digits of their hash; cells of more rows than the limit are then
+# counted by some more digits.
+PREFIX, MORE_DIGITS, MAX_CELL, DIGITS = 4, 2, 50_000, 32
 
 
 def _shares(counts: dict, draws: int) -> dict:
@@ -55,28 +56,30 @@ class StratifiedSplit:
 
     @staticmethod
     def fit(
-        df: DataFrame, label: str, key: str, test: float = 0.1, val: float = 0.1, seed: int = 42
+        df: DataFrame, label: str, key: str, test: float = 0.1, val: float = 0.1, seed: int = 42, prefix: int = PREFIX,
+        max_cell: int = MAX_CELL,
     ) -> StratifiedSplit:
-        """Two passes over label and key only.
+        """A few passes over label and key only.
 
-        Counts per (class, hash prefix) give the quotas and tell in which prefix each quota is used up;
-        only the rows of those few prefixes are then ranked. The counts (at most 65,536 per class) are
-        held while both answers are read from them.
+        Counts per (class, hash prefix) give the quotas and tell in which prefix each quota is used up. Those prefixes
+        alone are lengthened, pass by pass, until no more than ``max_cell`` rows share one; only these are then ranked,
+        whatever the size of the table. The first counts (at most 65,536 per class) are held while both answers are
+        read from them.
         """
         rows = df.select(F.col(label).alias("label"), _hash(key, seed).alias("hash"))
-        rows = rows.withColumn("prefix", F.substring("hash", 1, PREFIX))
+        rows = rows.withColumn("prefix", F.substring("hash", 1, prefix))
         rows = rows.withColumn("no_key", F.col("hash").isNull())
         cells = rows.groupBy("label", "prefix").agg(
             F.count("*").alias("n"), F.sum(F.col("no_key").cast("long")).alias("no_key")
         ).persist()
         try:
-            return StratifiedSplit._from_cells(rows, cells, label, key, test, val, seed)
+            return StratifiedSplit._from_cells(rows, cells, label, key, test, val, seed, max_cell)
         finally:
             cells.unpersist()
 
     @staticmethod
     def _from_cells(
-        rows: DataFrame, cells: DataFrame, label: str, key: str, test: float, val: float, seed: int
+        rows: DataFrame, cells: DataFrame, label: str, key: str, test: float, val: float, seed: int, max_cell: int
     ) -> StratifiedSplit:
         found = cells.groupBy("label").agg(F.sum("n").alias("n"), F.sum("no_key").alias("no_key"))
         found = found.limit(MAX_CLASSES + 1).collect()
@@ -96,23 +99,15 @@ class StratifiedSplit:
             cells.withColumn("w", F.explode(F.filter(wanted, lambda w: (
                 (w["c"] == F.col("label")) & (F.col("upto") - F.col("n") < w["end"]) & (w["end"] <= F.col("upto"))
             ))))
-            .select("label", "prefix", "w.part", (F.col("w.end") - F.col("upto") + F.col("n")).alias("need"))
+            .select("label", "prefix", "w.part", (F.col("w.end") - F.col("upto") + F.col("n")).alias("need"), "n")
             .collect()
         )
-        needs = F.array(*[
-            F.struct(F.lit(r["part"]).alias("part"), F.lit(r["need"]).alias("need"), F.lit(r["label"]).alias("c"), F.lit(r["prefix"]).alias("p"))
-            for r in crossing
-        ])
-        in_place = F.lit(False)
-        for c in quotas:
-            in_place = in_place | ((F.col("label") == F.lit(c)) & F.col("prefix").isin([r["prefix"] for r in crossing if r["label"] == c]))
-        by_hash = Window.partitionBy("label", "prefix").orderBy("hash")
+        crossing = StratifiedSplit._refined(rows, [tuple(r) for r in crossing], max_cell)
+        by_hash = Window.partitionBy("label", "part").orderBy("hash")
+        placed = StratifiedSplit._cells_of(rows, crossing)
         last = (
-            rows.filter(in_place).withColumns({"rank": F.row_number().over(by_hash), "next": F.lead("hash").over(by_hash)})
-            .withColumn("w", F.explode(F.filter(needs, lambda w: (
-                (w["c"] == F.col("label")) & (w["p"] == F.col("prefix")) & (w["need"] == F.col("rank"))
-            ))))
-            .select("label", "w.part", "hash", "next").collect()
+            placed.withColumns({"rank": F.row_number().over(by_hash), "next": F.lead("hash").over(by_hash)})
+            .filter(F.col("rank") == F.col("need")).select("label", "part", "hash", "next").collect()
         )
         if any(r["hash"] == r["next"] for r in last):
             raise ValueError(f"{key} repeats where a part of the split ends; see unique_key")
@@ -121,6 +116,37 @@ class StratifiedSplit:
             limits.setdefault(r["label"], {})[r["part"]] = r["hash"]
         return StratifiedSplit(label, key, seed, limits)
 
+    @staticmethod
+    def _cells_of(rows: DataFrame, crossing: list[tuple]) -> DataFrame:
+        """(label, hash, part, prefix, need): the rows that share a prefix in which a quota ends."""
+        wanted = F.array(*[
+            F.struct(F.lit(c).alias("c"), F.lit(p).alias("prefix"), F.lit(part).alias("part"), F.lit(need).cast("long").alias("need"))
+            for c, p, part, need, _ in crossing
+        ])
+        mine = F.filter(wanted, lambda w: (w["c"] == F.col("label")) & F.col("hash").startswith(w["prefix"]))
+        return rows.select("label", "hash", F.explode(mine).alias("w")).select("label", "hash", "w.part", "w.prefix", "w.need")
+
+    @staticmethod
+    def _refined(rows: DataFrame, crossing: list[tuple], max_cell: int) -> list[tuple]:
+        """(label, prefix, part, need, n) with prefixes so long that n is at most ``max_cell``, or that are whole hashes."""
+        while True:
+            large = [w for w in crossing if w[4] > max_cell and len(w[1]) < DIGITS]
+            if not large:
+                return crossing
+            longer = F.substring("hash", F.lit(1), F.length("prefix") + MORE_DIGITS)
+            counts = StratifiedSplit._cells_of(rows, large).groupBy("label", "part", longer.alias("longer")).agg(F.count("*").alias("n"))
+            # At most 256 cells for each quota.
+            found: dict = {}
+            for r in sorted(counts.collect(), key=lambda r: r["longer"]):
+                found.setdefault((r["label"], r["part"]), []).append((r["longer"], r["n"]))
+            crossing = [w for w in crossing if w not in large]
+            for c, _, part, need, _ in large:
+                for prefix, n in found[c, part]:
+                    if need <= n:
+                        crossing.append((c, prefix, part, need, n))
+                        break
+                    need -= n
+
     def apply(self, df: DataFrame, out: str = "split") -> DataFrame:
         # A column of its own, so that the hash is computed once for both comparisons.
         hashed = df.withColumn("_hash", _hash(self.key, self.seed))

@@ -12,7 +12,7 @@ from latewise.operators.encode import LabelEncoder, OneHotEncoder
 from latewise.operators.features import LABEL, add_order_features
 from latewise.operators.profile import null_counts, profile
 from latewise.operators.scale import Standardizer
-from latewise.operators.select import BEST_K, VARIANCE_THRESHOLD, anova_f, select_features
+from latewise.operators.select import BEST_K, VARIANCE_THRESHOLD, p_values, select_features, validity_counts
 from latewise.operators.split import StratifiedSplit
 from latewise.session import work_dir
 from latewise.sources.tables import numeric_columns
@@ -20,12 +20,16 @@ from latewise.sources.tables import numeric_columns
 
 @dataclass(frozen=True)
 class Prepared:
-    """The scaled table (key, features, label, split) with what was fitted on the way."""
+    """The scaled table (key, features, label, split) with what was fitted on the way.
+
+    ``nulls`` (part, n_null) tells how many nulls were filled, where the study reports them.
+    """
 
     table: DataFrame
     features: list[str]
     scaler: Standardizer
     split: StratifiedSplit
+    nulls: DataFrame | None = None
 
     def part(self, name: str) -> DataFrame:
         return self.table.filter(F.col("split") == name).drop("split")
@@ -79,9 +83,10 @@ def prepare_binary(
 
 
 def data_quality(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """(section, item, value): shape, nulls per column, rows and share per class, F score per column.
+    """(section, item, value): shape, nulls per column, rows and share per class, F score per column, and how many
+    columns are effective (p < 0.05) and weak (p > 0.01).
 
-    Columns without nulls are left out of the null section, constant columns out of the F section.
+    Columns without nulls are left out of the null section, constant columns out of the last two.
     """
     shape = profile(df).select(F.explode(F.create_map(
         F.lit("rows"), F.col("n_rows").cast("double"), F.lit("columns"), F.col("n_columns").cast("double"),
@@ -101,5 +106,12 @@ def data_quality(df: DataFrame, label: str = LABEL) -> DataFrame:
     cols = numeric_columns(df, [label])
     if not cols:
         return report
-    scores = anova_f(df, cols, label).filter(~F.isnan("f"))
-    return report.unionByName(scores.select(F.lit("f_score").alias("section"), F.col("column").alias("item"), F.col("f").alias("value")))
+    tested = p_values(df, cols, label).agg(
+        *validity_counts(), F.collect_list(F.when(~F.isnan("f"), F.struct("column", "f"))).alias("scores")
+    )
+    counts = [
+        F.struct(F.lit("validity").alias("section"), F.lit(item).alias("item"), F.col(f"n_{item}").cast("double").alias("value"))
+        for item in ("effective", "weak")
+    ]
+    scores = F.transform("scores", lambda s: F.struct(F.lit("f_score").alias("section"), s["column"].alias("item"), s["f"].alias("value")))
+    return report.unionByName(tested.select(F.explode(F.concat(F.array(*counts), scores)).alias("r")).select("r.*"))

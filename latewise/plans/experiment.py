@@ -8,8 +8,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latewise.operators.models.registry import score
-from latewise.operators.results import metrics_record
+from latewise.operators.models.registry import registry, score
+from latewise.operators.results import best_model, comparison, metrics_record
+from latewise.plans.binary import Prepared, materialize
 from latewise.sources.tables import spread, to_xy
 
 
@@ -25,7 +26,8 @@ def run_models(
     """Fit every model (or the named ones), score the test rows, and return one record per model.
 
     ``train_time`` covers fitting, scoring and metrics. A model that fails gives a record with its
-    whole error and the others go on; ``on_error="raise"`` stops instead. Both tables are held while the models run.
+    whole error and the others go on; ``on_error="raise"`` stops instead. Both tables are held while the models run; the
+    scored rows of a model are written once, and all its metrics read them there.
     """
     names = list(models) if names is None else list(names)
     unknown = [n for n in names if n not in models]
@@ -39,7 +41,7 @@ def run_models(
             start = time.perf_counter()
             try:
                 model = models[name].fit(train)
-                record = metrics_record(score(model, test, keep), n_classes)
+                record = metrics_record(materialize(score(model, test, keep), "scored"), n_classes)
                 # One row; collected so that the time includes the work and nothing is computed twice.
                 values = record.collect()
                 record = spark.createDataFrame(values, record.schema).select(
@@ -79,3 +81,18 @@ def run_ablation(
         record = record.withColumn("place", F.lit(place)).withColumnRenamed("model", "variant")
         records = record if records is None else records.unionByName(record, allowMissingColumns=True)
     return records
+
+
+def run_study(
+    prepared: Prepared, label: str, n_classes: int, names: Iterable[str] | None = None, key: str = "row_key", seed: int = 42
+) -> DataFrame:
+    """The named models (or all) on a prepared table: its selected, scaled columns, training and test rows.
+
+    Returns the compared metrics of each model and whether it is the best by macro F1.
+    """
+    parts = {p: to_xy(prepared.part(p), label, prepared.features, keep=[key]) for p in ("train", "test")}
+    models = registry(parts["train"].count(), n_classes, key, seed)
+    records = run_models(models, parts["train"], parts["test"], n_classes, names, (key,), "raise")
+    best = best_model(records).select(F.col("model").alias("best"))
+    table = comparison(records)
+    return table.join(F.broadcast(best), table["model"] == best["best"], "left").withColumn("best", F.col("best").isNotNull())

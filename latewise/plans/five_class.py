@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latewise.operators.clean import fill_leading, fill_numeric, merge_dedup
+from latewise.operators.clean import fill_leading, fill_numeric, merge_dedup, null_totals
 from latewise.operators.scale import Standardizer
 from latewise.operators.split import StratifiedSplit, unique_key
 from latewise.plans.binary import Prepared, materialize
@@ -31,4 +31,4 @@ def prepare_five_class(a: DataFrame, b: DataFrame, label: str, key: str | None =
     split = StratifiedSplit.fit(rows, label, key, seed=seed)
     rows = split.apply(rows)
     scaler = Standardizer.fit(rows.filter(F.col("split") == "train"), features)
-    return Prepared(scaler.apply(rows), features, scaler, split)
+    return Prepared(scaler.apply(rows), features, scaler, split, null_totals(merged, label))

@@ -1,12 +1,19 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest
+from itertools import combinations
+from math import factorial
+
+from pyspark.ml.classification import (
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+)
 from pyspark.sql import functions as F
 
 from latewise.operators import explain as X
-from latewise.operators.models import ExtraTrees, NearestNeighbours, fit_mlp, registry, score
+from latewise.operators.models import DecisionTree, ExtraTrees, GradientBoosting, ImportanceForest, NearestNeighbours, fit_mlp, registry, score
+from latewise.operators.models import boosting as B
+from latewise.operators.tree_shap import tree_shap
 from latewise.plans.experiment import run_ablation, run_models
-from latewise.sources.tables import to_xy
+from latewise.sources.tables import load_model, save_model, to_xy
 
 
 def blobs(spark, n=300, classes=2, d=4, seed=3):
@@ -27,7 +34,7 @@ def test_knn_matches_brute_force(spark, block_rows):
     y = rng.integers(0, 3, 240)
     frame = spark.createDataFrame([(i, list(map(float, x[i])), int(y[i])) for i in range(240)], "id long, features array<double>, label int")
     train, query = frame.filter("id < 180"), frame.filter("id >= 180 OR id < 5")
-    got = NearestNeighbours(key="id", k=10, pivots=6, block_rows=block_rows).fit(train).neighbours(query)
+    got = NearestNeighbours(key="id", k=10, leaf_rows=20, block_rows=block_rows).fit(train).neighbours(query)
     found = {}
     for r in got.collect():
         found.setdefault(r["key"], []).append((r["distance"], r["train_key"]))
@@ -37,6 +44,33 @@ def test_knn_matches_brute_force(spark, block_rows):
         assert [t for _, t in sorted(found[i])] == [t for _, t in expected]
 
 
+def test_knn_visits_grow_slower_than_the_table(spark):
+    """Four times the rows, four times the leaves: a query's share of visited leaves falls."""
+    rng = np.random.default_rng(5)
+    shares, visited = [], []
+    for n in (2_000, 8_000):
+        x = rng.uniform(size=(n + 100, 2))
+        frame = spark.createDataFrame([(i, list(map(float, x[i])), 0) for i in range(n + 100)], "id long, features array<double>, label int")
+        model = NearestNeighbours(key="id", k=5, leaf_rows=40).fit(frame.filter(F.col("id") < n))
+        bounded, _ = model.bounded(frame.filter(F.col("id") >= n))
+        visited.append(model.visits(bounded).count() / 100)
+        shares.append(visited[-1] / (model.tree.count > 0).sum())
+        assert model.tree.count.sum() == n
+    assert visited[1] < 1.5 * visited[0] and shares[1] < 0.5 * shares[0]
+
+
+def test_knn_with_few_rows_and_empty_leaves(spark):
+    rows = [(i, [float(i % 3)], i % 2) for i in range(30)]
+    frame = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    # Copies make leaves without rows; fewer rows than k give them all.
+    model = NearestNeighbours(key="id", k=40, leaf_rows=2).fit(frame)
+    assert model.neighbours(frame.filter("id < 2")).count() == 60
+    assert (model.tree.count == 0).any()
+    assert model.neighbours(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="no training rows"):
+        NearestNeighbours(key="id").fit(frame.limit(0))
+
+
 def test_knn_votes(spark):
     rows = [(0, [0.0], 1), (1, [1.0], 0), (2, [9.0], 1)]
     frame = spark.createDataFrame(rows, "id long, features array<double>, label int")
@@ -85,6 +119,28 @@ def test_mlp_keeps_the_best_round(spark):
     assert model.numClasses == 2
 
 
+def test_test_rows_are_scored_once(spark):
+    df, names, _, _ = blobs(spark, n=60)
+    xy = to_xy(df, "y", names)
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            @F.pandas_udf("array<double>")
+            def probability(x):
+                seen.add(len(x))
+                return x.map(lambda v: [0.4, 0.6])
+
+            scored = df.withColumn("probability", probability(F.col("label")))
+            return scored.withColumn("prediction", F.lit(1.0))
+
+    run_models({"m": Counting()}, xy, xy, 2, on_error="raise").collect()
+    assert seen.value == 60
+
+
 def test_run_models_records_failures(spark):
     df, names, _, _ = blobs(spark)
     xy = to_xy(df, "y", names)
@@ -148,3 +204,248 @@ def test_waterfall_keeps_the_total(spark):
         mine = [r for r in bars if r["row_key"] == key]
         assert len(mine) == 3 and mine[-1]["feature"] == "2 other features"
         assert sum(r["shap"] for r in mine) + mine[0]["base"] == pytest.approx(force[key]["output"])
+
+
+def grown(x, y, depth, classes):
+    """A Gini tree by trying every cut of every node: {node: (feature, threshold, counts)}."""
+    nodes = {}
+
+    def purity(labels):
+        counts = np.bincount(labels, minlength=classes).astype(float)
+        return (counts**2).sum() / counts.sum()
+
+    def grow(rows, node, level):
+        counts = tuple(np.bincount(y[rows], minlength=classes).tolist())
+        nodes[node] = (-1, 0.0, counts)
+        if level == depth or sum(c > 0 for c in counts) < 2:
+            return
+        best = None
+        for j in range(x.shape[1]):
+            values = np.unique(x[rows, j])
+            for v, later in zip(values, values[1:]):
+                left, right = rows[x[rows, j] <= v], rows[x[rows, j] > v]
+                worth = (purity(y[left]) + purity(y[right]), -j, -v)
+                if best is None or worth > best[0]:
+                    best = (worth, j, (v + later) / 2, left, right)
+        if best:
+            nodes[node] = (best[1], best[2], counts)
+            grow(best[3], 2 * node + 1, level + 1)
+            grow(best[4], 2 * node + 2, level + 1)
+
+    grow(np.arange(len(y)), 0, 0)
+    return nodes
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 64])
+def test_decision_tree_equals_trying_every_cut(spark, buckets):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(220, 3)), 1)
+    x[:, 2] = rng.integers(0, 2, 220)
+    y = (x[:, 0] + rng.normal(size=220) > 0).astype(int) + (x[:, 1] > 0.7)
+    frame = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], "features array<double>, label int")
+    model = DecisionTree(max_depth=4, buckets=buckets).fit(frame)
+    got = {n.node: (n.feature, n.threshold, n.counts) for n in model.nodes}
+    want = grown(x, y, 4, 3)
+    assert got == {i: (f, pytest.approx(t), c) for i, (f, t, c) in want.items()}
+    rows = model.transform(frame).collect()
+    for r in rows:
+        node = 0
+        while want[node][0] >= 0:
+            node = 2 * node + 1 + (r["features"][want[node][0]] > want[node][1])
+        share = np.array(want[node][2]) / sum(want[node][2])
+        assert r["probability"] == pytest.approx(share.tolist()) and r["prediction"] == share.argmax()
+    # One class, one value, no rows.
+    assert len(DecisionTree().fit(frame.filter("label = 0")).nodes) == 1
+    same = frame.select(F.array(F.lit(1.0)).alias("features"), "label")
+    assert len(DecisionTree().fit(same).nodes) == 1
+    with pytest.raises(ValueError, match="no training rows"):
+        DecisionTree().fit(frame.limit(0))
+
+
+def levels_frame(spark, n=400, classes=2, seed=9):
+    """Few distinct values, so bins are exact."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, size=(n, 4)).astype(float)
+    y = np.minimum(classes - 1, ((x[:, 0] + x[:, 1] * (x[:, 2] > 5) + rng.normal(size=n) * 2) / 24 * classes).clip(0).astype(int))
+    rows = [(str(i), list(map(float, x[i])), int(y[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "row_key string, features array<double>, label int"), x, y
+
+
+def second_order(x, g, h, depth, lam, min_hess, max_leaves=None):
+    """Leaf value of every row in a tree that tries every cut; best-first if ``max_leaves`` is given."""
+    def best(rows):
+        found = (1e-6, None, None)
+        for j in range(x.shape[1]):
+            for v in np.unique(x[rows, j])[:-1]:
+                left = rows[x[rows, j] <= v]
+                right = rows[x[rows, j] > v]
+                if min(h[left].sum(), h[right].sum()) < min_hess:
+                    continue
+                gain = sum(s * g[part].sum() ** 2 / (h[part].sum() + lam) for s, part in ((1, left), (1, right), (-1, rows)))
+                if gain > found[0] + 1e-9:
+                    found = (gain, left, right)
+        return found
+
+    leaves, front = [], [(np.arange(len(g)), 0)]
+    done = 1
+    while front:
+        scored = [(best(rows) if level < depth else (0, None, None), rows, level) for rows, level in front]
+        splits = [s for s in scored if s[0][1] is not None]
+        leaves += [s[1] for s in scored if s[0][1] is None]
+        if max_leaves is not None and splits:
+            splits.sort(key=lambda s: -s[0][0])
+            if done >= max_leaves:
+                leaves += [s[1] for s in splits]
+                break
+            front = [(s[1], s[2]) for s in splits[1:]]
+            splits = splits[:1]
+        else:
+            front = []
+        for (_, left, right), _, level in splits:
+            front += [(left, level + 1), (right, level + 1)]
+            done += 1
+    value = np.zeros(len(g))
+    for rows in leaves:
+        value[rows] = -g[rows].sum() / (h[rows].sum() + lam)
+    return value
+
+
+@pytest.mark.parametrize("max_leaves", [None, 4, 6])
+def test_boosting_equals_brute_force(spark, max_leaves):
+    frame, x, y = levels_frame(spark)
+    model = GradientBoosting(
+        n_trees=3, max_depth=3, learning_rate=0.3, row_share=1.0, column_share=1.0, min_hess=0.5, max_leaves=max_leaves, rewrite=2
+    ).fit(frame)
+    margin = np.zeros(len(y))
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-margin))
+        margin += 0.3 * second_order(x, p - y, p * (1 - p), 3, 1.0, 0.5, max_leaves)
+    assert model.margins(x)[:, 0] == pytest.approx(margin, abs=1e-5)
+    for tree in (t for one_round in model.trees for t in one_round):
+        used = tree.hess > 0
+        assert tree.value[used] == pytest.approx(-0.3 * tree.grad[used] / (tree.hess[used] + 1.0))
+        if max_leaves:
+            assert (tree.feature >= 0).sum() + 1 <= max_leaves
+
+
+def test_boosting_of_five_classes(spark):
+    frame, x, y = levels_frame(spark, n=600, classes=5)
+    settings = GradientBoosting(n_trees=8, max_depth=3, learning_rate=0.3, n_classes=5, key="row_key", rewrite=3)
+    model = settings.fit(frame)
+    again = settings.fit(frame.repartition(7))
+    assert np.array_equal(model.margins(x), again.margins(x))  # whatever the partitions
+    pred = score(model, frame, keep=("row_key",)).collect()
+    assert all(len(r["prob"]) == 5 and sum(r["prob"]) == pytest.approx(1) for r in pred)
+    assert np.mean([r["y_true"] == r["y_pred"] for r in pred]) > np.bincount(y).max() / len(y) + 0.15
+    # The first round of a softmax: p - y, and twice p (1 - p).
+    g, h = B.gradients(np.zeros((2, 5)), np.array([0, 4]))
+    assert g[0] / B.SCALE == pytest.approx([-0.8, 0.2, 0.2, 0.2, 0.2], abs=1e-6) and h[1] / B.SCALE == pytest.approx([0.32] * 5, abs=1e-6)
+
+
+def test_boosting_draws_rows_and_columns(spark):
+    frame, x, _ = levels_frame(spark)
+    model = GradientBoosting(n_trees=6, max_depth=1, row_share=0.5, column_share=0.5, key="row_key").fit(frame)
+    seen = [t[0].rows[0] for t in model.trees]
+    assert len(set(seen)) > 1 and all(0.35 * 400 < n < 0.65 * 400 for n in seen)
+    with pytest.raises(ValueError, match="no training rows"):
+        GradientBoosting().fit(frame.limit(0))
+
+
+def test_own_models_survive_saving(spark, tmp_path):
+    frame, _, _ = levels_frame(spark, n=120, classes=3)
+    makers = {
+        "tree": DecisionTree(max_depth=3), "extra": ExtraTrees(n_trees=5, max_depth=3),
+        "boost": GradientBoosting(n_trees=2, max_depth=2, n_classes=3), "near": NearestNeighbours(key="row_key", k=3, leaf_rows=16),
+    }
+    for name, maker in makers.items():
+        model = maker.fit(frame)
+        save_model(model, str(tmp_path / name))
+        loaded = load_model(spark, str(tmp_path / name))
+        before, after = (
+            sorted((r["row_key"], tuple(r["prob"]), r["y_pred"]) for r in score(m, frame, keep=("row_key",)).collect())
+            for m in (model, loaded)
+        )
+        assert before == after, name
+
+
+def test_importance_of_a_full_tree_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 2)
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=300) > 0).astype(int) + (x[:, 2] > 1)
+    frame = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], "features array<double>, label int")
+    want = np.zeros(3)
+    nodes = grown(x, y, 60, 3)
+
+    def purity(counts):
+        return sum(c * c for c in counts) / sum(counts)
+
+    for i, (feature, _, counts) in nodes.items():
+        if feature >= 0:
+            want[feature] += purity(nodes[2 * i + 1][2]) + purity(nodes[2 * i + 2][2]) - purity(counts)
+    whole = ImportanceForest(n_trees=1, n_candidates=3, bootstrap=False, max_bins=512)
+    assert whole.importances(frame) == pytest.approx(want / want.sum(), rel=1e-9)
+    # Large nodes are split by jobs, the rest is handed off; several jobs a level.
+    for rows in (120, 20):
+        dealt = ImportanceForest(n_trees=1, n_candidates=3, bootstrap=False, max_bins=512, task_rows=rows, block_rows=37, job_nodes=2)
+        assert dealt.importances(frame.repartition(3)) == pytest.approx(want / want.sum(), rel=1e-9)
+
+
+def test_importance_finds_the_columns_that_matter(spark):
+    df, names, _, y = blobs(spark, n=500)
+    rows = to_xy(df, "y", names)
+    got = ImportanceForest(n_trees=12, task_rows=200).importances(rows)
+    assert got.sum() == pytest.approx(1) and got[:2].min() > got[2:].max()
+    # A column that never varies is passed over, whatever is drawn.
+    flat = df.select(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0), "x0").alias("features"), F.col("y").alias("label"))
+    assert ImportanceForest(n_trees=3).importances(flat).tolist() == [0, 0, 0, 0, 1]
+    assert ImportanceForest(n_trees=2).importances(flat.filter("label = 0")).sum() == 0
+    with pytest.raises(ValueError, match="no training rows"):
+        ImportanceForest().importances(flat.limit(0))
+
+
+@pytest.mark.parametrize("kind", ["own", "tree", "forest"])
+def test_tree_contributions_equal_enumeration(spark, kind):
+    df, names, x, _ = blobs(spark, n=120, classes=3, d=5)
+    xy = to_xy(df, "y", names, keep=["row_key"])
+    maker = {"own": DecisionTree(max_depth=4), "tree": DecisionTreeClassifier(maxDepth=4, seed=1),
+             "forest": RandomForestClassifier(numTrees=3, maxDepth=4, seed=1)}[kind]
+    model = maker.fit(xy)
+    few, other = df.filter("row_key < '14'"), df.filter("row_key >= '85'")
+    got = {(r["row_key"], r["class"]): r for r in tree_shap(model, few, other, names).table.collect()}
+    chosen = [int(r["row_key"]) for r in few.collect()]
+    background = [int(r["row_key"]) for r in other.collect()]
+    subsets = [s for n in range(6) for s in combinations(range(5), n)]
+    # The value of a coalition: mean probability with its columns from the row and the others from the background.
+    mixes, owner = [], []
+    for i in chosen:
+        for s in subsets:
+            for b in background:
+                row = x[b].copy()
+                row[list(s)] = x[i][list(s)]
+                mixes.append((f"{i}|{s}", *map(float, row), 0))
+    frame = spark.createDataFrame(mixes, "row_key string, " + ", ".join(f"{c} double" for c in names) + ", y int")
+    worth = {}
+    for r in score(model, to_xy(frame, "y", names, keep=["row_key"]), keep=("row_key",)).collect():
+        worth.setdefault(r["row_key"], []).append(r["prob"])
+    worth = {k: np.mean(v, axis=0) for k, v in worth.items()}
+    for i in chosen:
+        for j in range(5):
+            want = sum(
+                factorial(len(s)) * factorial(4 - len(s)) / factorial(5)
+                * (worth[f"{i}|{tuple(sorted((*s, j)))}"] - worth[f"{i}|{s}"]) for s in subsets if j not in s
+            )
+            assert [got[str(i), c]["shap"][j] for c in range(3)] == pytest.approx(want.tolist(), abs=1e-9)
+        assert [got[str(i), c]["base"] for c in range(3)] == pytest.approx(worth[f"{i}|()"].tolist(), abs=1e-9)
+
+
+def test_decisions_and_waterfalls_need_no_join(spark):
+    df, names, _, _ = blobs(spark, n=40)
+    rows = df.withColumn("y_true", F.col("y")).withColumn("y_pred", F.lit(1))
+    kept = X.linear_shap(rows, rows, names, [0.4, -0.3, 0.2, 0.1], 0.0, keep=("y_true", "y_pred"))
+    decided = X.shap_decision(kept)
+    joined = X.shap_decision(X.linear_shap(rows, rows, names, [0.4, -0.3, 0.2, 0.1], 0.0), rows)
+    assert sorted(map(str, decided.select(*joined.columns).collect())) == sorted(map(str, joined.collect()))
+    bars = X.shap_waterfall(kept.predicted_only())
+    assert bars.select("row_key").distinct().count() == 40
+    for table in (decided, bars):
+        assert "Join" not in table._jdf.queryExecution().executedPlan().toString()

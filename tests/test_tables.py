@@ -199,3 +199,26 @@ def test_keys_of_rows_tell_nulls_and_separators_apart(spark):
 
 def test_stamped_names_differ_by_time():
     assert tables.stamped("a/results/", datetime(2024, 5, 6, 7, 8, 9)) == "a/results_20240506_070809"
+
+
+def test_quotas_end_in_ever_longer_prefixes(spark):
+    df = spark.range(3_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3).cast("int").alias("y"))
+    plain = StratifiedSplit.fit(df, "y", "k")
+    # One digit counts all rows into sixteen cells, so every quota is followed through longer prefixes.
+    short = StratifiedSplit.fit(df, "y", "k", prefix=1, max_cell=2)
+    assert short.limits == plain.limits and len(plain.limits) == 3
+    assert StratifiedSplit.fit(df, "y", "k", prefix=1, max_cell=1).limits == plain.limits
+    # A third of all rows with one key: the cell cannot get smaller, and the key is an error where a part ends in it.
+    same = df.withColumn("k", F.when(F.col("y") == 0, "same").otherwise(F.col("k")))
+    with pytest.raises(ValueError, match="repeats where a part"):
+        StratifiedSplit.fit(same, "y", "k", prefix=1, max_cell=10)
+
+
+def test_null_totals(spark):
+    from latewise.operators.clean import null_totals
+
+    df = spark.createDataFrame([(None, 1, None, 2, None, None, "x"), (1, None, "a", 2, 0, 3, None)],
+                               "a int, b int, c string, d int, y int, e int, f string")
+    got = {r["part"]: r["n_null"] for r in null_totals(df, "y").collect()}
+    assert got == {"leading": 4, "numeric": 1}
+    assert {r["n_null"] for r in null_totals(df.limit(0), "y").collect()} == {0}
