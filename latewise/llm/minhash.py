@@ -10,9 +10,9 @@ or the greatest values of the same permutations. That both agree is a little les
 so bands of greatest values catch what the bands of least values miss. At similarity 0.85 the 32 bands miss a pair
 with probability (1 - 0.85**5)**32 = 7e-9; other values agree in proportion to similarity and only cost time.
 
-Links: documents with equal sets are one node. Buckets (a band's value) of more than one node are first compared with
-one node each, twice with another choice; what is linked then counts as one part. Buckets that still hold several parts
-are compared whole, in groups of bounded size: a crowded bucket is dealt again by each of its nodes' other bands, and
+Links: documents with equal sets are one node. The nodes of a bucket (a band's value) are first compared with one of
+them, the first in an order that is the same for all buckets; nodes linked to one node count as one part. Buckets that
+still hold several parts are compared whole, in groups of bounded size: a crowded bucket is dealt again by each of its nodes' other bands, and
 what stays crowded goes by pairs of blocks. Only links between parts are looked for, and of those a spanning forest is
 kept, so no group becomes all its pairs and none is cut.
 
@@ -24,15 +24,16 @@ rows get equal results (equal ids of empty texts too); an empty table gives no r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latewise.llm.components import components
+from latewise.llm.membership import filter_of, held
 from latewise.llm.work import written
 
 SEED, N_HASHES, ROWS = 42, 80, 5
@@ -41,7 +42,6 @@ _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, size=(2, N_HASHES), dtyp
 FACTORS, OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 #: Factors of the words of a shingle by place.
 PLACES = np.random.default_rng(SEED + 1).integers(0, 2**64, size=64, dtype=np.uint64) | np.uint64(1)
-FILTER_BITS = 25
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -140,35 +140,18 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     return given.mapInArrow(each, f"id {kind}, n long, digest binary, bands array<bigint>")
 
 
-def _filter_of(digests: DataFrame) -> np.ndarray:
-    """A bit for each slot that a digest falls on: 4 MB whatever the number; a full filter lets everything through."""
-    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    slot = digests.select((F.shiftright(first, 32 - FILTER_BITS) + 1).alias("s"))  # buckets are counted from 1
-    maps = slot.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")
-    )
-    packed = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for row in maps.toLocalIterator():
-        at = (row["bucket"] - 1) * 4096
-        packed[at : at + 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return packed
-
-
-def _may_hold(packed: np.ndarray, name: bytes) -> bool:
-    slot = int.from_bytes(name[:4], "big") >> (32 - FILTER_BITS)
-    return bool(packed[slot >> 3] >> (slot & 7) & 1)
-
-
 def _sets_of(docs: DataFrame, digests: DataFrame, width: int, text_col: str) -> DataFrame:
     """(digest, grams): the full sets of these names, hashed from the texts again."""
-    allowed = docs.sparkSession.sparkContext.broadcast(_filter_of(digests))
+    hashed = digests.select(F.xxhash64("digest").alias("h"))
+    allowed = docs.sparkSession.sparkContext.broadcast(filter_of(hashed, "h"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = WordHashes(), allowed.value
         for batch in batches:
             for texts in _pieces(batch.column("text")):
                 found = {digest(s): s for s in shingle_sets(texts, width, known) if len(s)}
-                found = {name: s for name, s in found.items() if _may_hold(bits, name)}
+                wanted = held(bits, np.array([xxhash.xxh64_intdigest(name, SEED) for name in found], dtype=np.uint64))
+                found = {name: s for (name, s), may in zip(found.items(), wanted) if may}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())],
                     ["digest", "grams"],
@@ -262,26 +245,28 @@ def _compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("key").applyInArrow(compare, "u binary, v binary")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the name of the part they belong to by now."""
-    tree = components(links).select(F.col("u").alias("digest"), F.col("v").alias("root"))
-    found = members.drop("label").join(tree, "digest", "left")
-    return written(found.withColumn("label", F.coalesce("root", "digest")).drop("root"))
+def _first_parts(members: DataFrame, links: DataFrame, order: Callable[[str], Column]) -> DataFrame:
+    """Members with a part as label: the first of those that a node is linked to, or what that one is linked to."""
+    first = written(links.groupBy(F.col("u").alias("digest")).agg(F.min_by("v", order("v")).alias("lead")))
+    beyond = first.select(F.col("digest").alias("lead"), F.col("lead").alias("next"))
+    parts = first.join(beyond, "lead", "left").select("digest", F.coalesce("next", "lead").alias("part"))
+    found = members.drop("label").join(parts, "digest", "left")
+    return written(found.withColumn("label", F.coalesce("part", "digest")).drop("part"))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """(key, weight, n_nodes) of the buckets that hold several parts, one of those that hold the same nodes."""
+def _open(members: DataFrame, least: int) -> DataFrame:
+    """(key, weight, n_nodes) of the buckets of ``least`` nodes or more that hold several parts, one of those with the same nodes."""
     per_key = members.groupBy("key").agg(
         F.count("*").alias("n_nodes"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("digest")).alias("x"),
         F.min(F.xxhash64("label")).alias("low"), F.max(F.xxhash64("label")).alias("high"),
     )
-    several = per_key.filter("low < high and n_nodes > 2")
+    several = per_key.filter((F.col("low") < F.col("high")) & (F.col("n_nodes") >= least))
     return several.groupBy("n_nodes", "weight", "x").agg(F.min("key").alias("key"))
 
 
 def near_links(
-    docs: DataFrame, nodes: DataFrame, width: int, percent: int, text_col: str = "text", rounds: int = 2,
-    max_weight: int = 4_000_000, max_nodes: int = 4_096,
+    docs: DataFrame, nodes: DataFrame, width: int, percent: int, text_col: str = "text", max_weight: int = 4_000_000,
+    max_nodes: int = 4_096,
 ) -> DataFrame:
     """(u, v): links between distinct sets (digest, n, bands) that connect all those that are similar enough.
 
@@ -291,33 +276,32 @@ def near_links(
     shared = dealt.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = written(dealt.join(shared, "key").withColumn("label", F.col("digest")))
     sets = _sets_of(docs, members.select("digest").distinct(), width, text_col)
-    links = None
-    for turn in range(rounds):
-        order = F.xxhash64(F.lit(turn), "digest")
-        leads = members.groupBy("key").agg(F.min_by(F.struct("digest", "label"), order).alias("lead"))
-        pairs = members.join(leads, "key").filter(F.col("label") != F.col("lead.label"))
-        pairs = written(pairs.select(F.col("digest").alias("u"), F.col("lead.digest").alias("v")).distinct())
-        found = written(_confirmed(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        members = _labelled(members, links)
-
-    still = written(_open(members))
-    held = members.join(still, "key")
+
+    def order(name: str) -> Column:
+        return F.xxhash64(F.lit(SEED), name)
+
+    leads = members.groupBy("key").agg(F.min_by("digest", order("digest")).alias("v"))
+    pairs = members.join(leads, "key").filter(F.col("digest") != F.col("v")).select(F.col("digest").alias("u"), "v").distinct()
+    links = written(_confirmed(pairs, sets, percent))
+    members = _first_parts(members, links, order)
+
+    still = written(_open(members, 3))  # the nodes of a bucket of two have been compared
+    members = members.join(still, "key")
     fits = (F.col("weight") <= max_weight) & (F.col("n_nodes") <= max_nodes)
-    groups = held.filter(fits).select("key", "digest", "label")
+    groups = members.filter(fits).select("key", "digest", "label")
     if not still.filter(~fits).isEmpty():
         # Two similar sets agree on many bands: crowded buckets are dealt again by each of the other bands.
-        crowd = held.filter(~fits).select("key", "digest", "label", "n").join(nodes.select("digest", "bands"), "digest")
+        crowd = members.filter(~fits).select("key", "digest", "label", "n").join(nodes.select("digest", "bands"), "digest")
         other = F.array_except("bands", F.array("key"))
         crowd = crowd.select("digest", "label", "n", "key", F.explode(other).alias("band"))
         again = written(crowd.select("digest", "label", "n", F.xxhash64("key", "band").alias("key")))
-        still = written(_open(again))
-        held = again.join(still, "key")
-        groups = groups.unionByName(held.filter(fits).select("key", "digest", "label"))
+        still = written(_open(again, 2))
+        again = again.join(still, "key")
+        groups = groups.unionByName(again.filter(fits).select("key", "digest", "label"))
         # What stays crowded goes by pairs of blocks.
         blocks = F.ceil(F.greatest(2 * F.col("weight") / max_weight, 2 * F.col("n_nodes") / max_nodes)).cast("int")
         mine = F.pmod(F.xxhash64("digest"), F.col("b")).cast("int")
-        split = held.filter(~fits).withColumn("b", blocks).withColumn("i", mine)
+        split = again.filter(~fits).withColumn("b", blocks).withColumn("i", mine)
         split = split.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
         split = split.select("digest", "label", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
         groups = groups.unionByName(split.select("key", "digest", "label"))

@@ -81,7 +81,7 @@ def test_components_equal_brute_force(spark):
     want = brute(rows)
     assert found(spark, rows) == want
     # Crowded buckets are dealt again and then go by blocks, with the same result.
-    assert found(spark, rows, rounds=1, max_weight=400, max_nodes=4) == want
+    assert found(spark, rows, max_weight=400, max_nodes=4) == want
 
 
 def test_links_between_parts():
