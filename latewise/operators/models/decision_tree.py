@@ -15,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +81,15 @@ class DecisionTree:
             found = given.agg(*[F.percentile_approx(F.col("x")[j], shares, 100 * self.buckets).alias(f"q{j}") for j in range(d)]).first()
             edges = [sorted(set(found[f"q{j}"])) for j in range(d)]
 
-        def bucket(j: int, low: int, high: int) -> Column:
-            """The number of edges below a value, by halving."""
-            if low == high:
-                return F.lit(low)
-            middle = (low + high) // 2
-            above = F.col("x")[j] > edges[j][middle]
-            return F.when(above, bucket(j, middle + 1, high)).otherwise(bucket(j, low, middle))
-
-        cells = [F.struct(F.col("x")[j].alias("v"), bucket(j, 0, len(edges[j])).alias("bucket")) for j in range(d)]
+        ends = [float("-inf"), float("inf")]
+        splits = [sorted({*ends, *(edges[j] or [0.0])}) for j in range(d)]
+        wide = given.select("x", "y", *[F.col("x")[j].alias(f"c{j}") for j in range(d)])
+        placer = Bucketizer(splitsArray=[s if len(s) > 2 else [ends[0], 0.0, ends[1]] for s in splits],
+                            inputCols=[f"c{j}" for j in range(d)], outputCols=[f"b{j}" for j in range(d)])
+        wide = placer.transform(wide)
+        cells = [F.struct(F.col(f"c{j}").alias("v"), F.col(f"b{j}").cast("int").alias("bucket")) for j in range(d)]
         path = f"{work_dir(given.sparkSession)}/rows"
-        rows = given.select("x", "y", F.array(*cells).alias("cells"))
+        rows = wide.select("x", "y", F.array(*cells).alias("cells"))
         rows.write.parquet(path)
         return given.sparkSession.read.schema(rows.schema).parquet(path)
 
