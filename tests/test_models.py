@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from latewise.operators import explain as X
 from latewise.operators.models import DecisionTree, ExtraTrees, GradientBoosting, ImportanceForest, NearestNeighbours, fit_mlp, registry, score
+from latewise.operators.losses import cross_entropy
+from latewise.operators.metrics import confusion, summary_metrics
 from latewise.operators.models import boosting as B
+from latewise.operators.models.mlp import judged
 from latewise.operators.tree_shap import tree_shap
 from latewise.plans.experiment import run_ablation, run_models
 from latewise.sources.tables import load_model, save_model, to_xy
@@ -116,6 +119,13 @@ def test_mlp_keeps_the_best_round(spark):
     model, history = fit_mlp(xy, xy, len(names), 2, hidden=[4], rounds=4, patience=2, steps=5)
     rows = history.collect()
     assert 1 <= len(rows) <= 4 and max(r["val_f1"] for r in rows) > 0.6
+    # Train and validation rows are the same here; the metrics are those of the library's own operators.
+    assert all(r["train_loss"] == pytest.approx(r["val_loss"]) for r in rows) and rows[-1]["val_loss"] < rows[0]["val_loss"]
+    pred = score(model, xy)
+    loss, accuracy, f1 = judged(model, xy)
+    known = summary_metrics(confusion(pred)).first()
+    assert (accuracy, f1) == pytest.approx((known["accuracy"], known["macro_f1"]))
+    assert loss == pytest.approx(cross_entropy(pred).first()["log_loss"])
     assert model.numClasses == 2
 
 
