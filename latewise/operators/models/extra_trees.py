@@ -2,8 +2,8 @@
 
 All trees grow together. A level takes two passes over the rows: the first finds the range of a few
 random columns in every open node, the second counts classes on both sides of a random threshold for
-each of them. A task sends one partial per (tree, node, candidate), never anything per row, and the
-driver keeps only the trees.
+each of them. A task sends one packed partial per tree, whatever its rows; the partials of a tree are
+combined in one task, and the driver keeps only the trees.
 """
 
 from __future__ import annotations
@@ -46,6 +46,50 @@ def _vector(df: DataFrame, name: str) -> Column:
     return vector_to_array(name) if dict(df.dtypes)[name] == "vector" else F.col(name).cast("array<double>")
 
 
+def _cells(batches: Iterator[pd.DataFrame], forest: Forest, level: int, chosen: np.ndarray, open_nodes: np.ndarray, step: int = 2_048):
+    """(x, y, row, cell, columns) a few rows at a time: the (row, tree) pairs that lie in an open node of the level, the place of
+    each candidate in a flat array over trees, nodes and candidates, and its column. All trees are routed in one step."""
+    first, (n_trees, width, n_chosen) = 2**level - 1, chosen.shape
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            part = batch.iloc[at:at + step]
+            x = _matrix(part["x"])
+            node = forest.route(x, level) - first
+            row, tree = np.nonzero((node >= 0) & open_nodes[np.arange(n_trees), np.maximum(node, 0)])
+            place = tree * width + node[row, tree]
+            yield x, part["y"].to_numpy(), row, place[:, None] * n_chosen + np.arange(n_chosen), chosen.reshape(-1, n_chosen)[place]
+
+
+def _packed(first: np.ndarray, second: np.ndarray, shape: tuple, seen: np.ndarray) -> pd.DataFrame:
+    """One row for each tree that a task saw rows of."""
+    trees = np.flatnonzero(seen)
+    arrays = [a.reshape(shape[0], -1) for a in (first, second)] if len(second) else [first.reshape(shape[0], -1)]
+    cells = [[a[t].tobytes() for t in trees] for a in arrays]
+    return pd.DataFrame({"t": trees.astype(np.int32), "a": cells[0], "b": cells[1] if len(cells) > 1 else [b""] * len(trees)})
+
+
+def _merged(rows: DataFrame, partial, shape: tuple, *combine) -> list[np.ndarray]:
+    """Arrays over all trees: what the tasks sent for a tree is combined in one task, and one row a tree reaches the driver."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for t, *sent in batch[["t", "a", "b"]].itertuples(index=False):
+                arrays = [np.frombuffer(s) for s in sent[:len(combine)]]
+                held[t] = [f(x, y) for f, x, y in zip(combine, held[t], arrays)] if t in held else arrays
+        cells = [[arrays[i].tobytes() for arrays in held.values()] for i in range(len(combine))]
+        yield pd.DataFrame({"t": list(held), "a": cells[0], "b": cells[1] if len(cells) > 1 else [b""] * len(held)}).astype({"t": np.int32})
+
+    schema = "t int, a binary, b binary"
+    found = rows.mapInPandas(partial, schema).repartition(min(shape[0], rows.sparkSession.sparkContext.defaultParallelism), "t")
+    start = {np.minimum: np.inf, np.maximum: -np.inf, np.add: 0.0}
+    out = [np.full((shape[0], int(np.prod(shape[1:]))), start[f]) for f in combine]
+    for r in found.mapInPandas(merge, schema).collect():
+        for array, sent in zip(out, (r["a"], r["b"])):
+            array[r["t"]] = np.frombuffer(sent)
+    return [array.reshape(shape) for array in out]
+
+
 @dataclass(frozen=True)
 class ExtraTrees:
     """No bootstrap; sqrt(columns) candidates per node, one uniform threshold each, best Gini wins."""
@@ -95,55 +139,37 @@ class ExtraTrees:
         return ExtraTreesModel(self, forest, [int(c) for c in classes])
 
     def _ranges(self, rows, forest, level, chosen, open_nodes):
-        first, width = 2**level - 1, 2**level
+        """(low, high): the range of every candidate in every open node."""
         shape = chosen.shape
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            low, high = np.full(shape, np.inf), np.full(shape, -np.inf)
-            for batch in batches:
-                x = _matrix(batch["x"])
-                node = forest.route(x, level) - first
-                for t in range(shape[0]):
-                    mine = np.flatnonzero((node[:, t] >= 0) & open_nodes[t, np.maximum(node[:, t], 0)])
-                    place = node[mine, t]
-                    values = x[mine[:, None], chosen[t, place]]
-                    np.minimum.at(low[t], place, values)
-                    np.maximum.at(high[t], place, values)
-            t, i, j = np.nonzero(low <= high)
-            yield pd.DataFrame({"t": t, "i": i, "j": j, "low": low[t, i, j], "high": high[t, i, j]})
-
-        parts = rows.select("x").mapInPandas(partial, "t int, i int, j int, low double, high double")
-        found = parts.groupBy("t", "i", "j").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
-        low, high = np.zeros(shape), np.zeros(shape)
-        at = (found["t"].to_numpy(), found["i"].to_numpy(), found["j"].to_numpy())
-        low[at], high[at] = found["low"].to_numpy(), found["high"].to_numpy()
+            low, high = np.full(chosen.size, np.inf), np.full(chosen.size, -np.inf)
+            for x, _, row, cell, cols in _cells(batches, forest, level, chosen, open_nodes):
+                values = x[row[:, None], cols].ravel()
+                np.minimum.at(low, cell.ravel(), values)
+                np.maximum.at(high, cell.ravel(), values)
+            yield _packed(low, high, shape, (low <= high).reshape(shape).any(axis=(1, 2)))
+
+        low, high = _merged(rows, partial, shape, np.minimum, np.maximum)
+        empty = low > high
+        low[empty], high[empty] = 0, 0
         return low, high
 
     def _left_counts(self, rows, forest, level, chosen, cuts, usable, classes):
-        first = 2**level - 1
-        shape, n_classes = chosen.shape, len(classes)
+        """Rows of every class on the left of every candidate's cut."""
+        shape, n_classes = (*chosen.shape, len(classes)), len(classes)
         open_nodes = usable.any(axis=2)
+        limit = cuts.ravel()
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            left = np.zeros((*shape, n_classes))
-            for batch in batches:
-                x, y = _matrix(batch["x"]), np.searchsorted(classes, batch["y"].to_numpy())
-                node = forest.route(x, level) - first
-                for t in range(shape[0]):
-                    mine = np.flatnonzero((node[:, t] >= 0) & open_nodes[t, np.maximum(node[:, t], 0)])
-                    place = node[mine, t]
-                    goes = x[mine[:, None], chosen[t, place]] <= cuts[t, place]
-                    for j in range(shape[2]):
-                        cell = place[goes[:, j]] * n_classes + y[mine[goes[:, j]]]
-                        left[t, :, j, :] += np.bincount(cell, minlength=shape[1] * n_classes).reshape(shape[1], n_classes)
-            t, i, j, c = np.nonzero(left)
-            yield pd.DataFrame({"t": t, "i": i, "j": j, "c": c, "n": left[t, i, j, c]})
-
-        parts = rows.mapInPandas(partial, "t int, i int, j int, c int, n double")
-        found = parts.groupBy("t", "i", "j", "c").agg(F.sum("n").alias("n")).toPandas()
-        left = np.zeros((*shape, n_classes))
-        left[tuple(found[k].to_numpy() for k in "tijc")] = found["n"].to_numpy()
-        return left
+            left = np.zeros(chosen.size * n_classes)
+            for x, y, row, cell, cols in _cells(batches, forest, level, chosen, open_nodes):
+                goes = x[row[:, None], cols] <= limit[cell]
+                label = np.searchsorted(classes, y)[row][:, None]
+                left += np.bincount((cell * n_classes + label)[goes], minlength=len(left))
+            yield _packed(left, left[:0], shape, left.reshape(shape).any(axis=(1, 2, 3)))
+
+        return _merged(rows, partial, shape, np.add)[0]
 
     def _split(self, forest, level, chosen, cuts, usable, left) -> None:
         first, width = 2**level - 1, 2**level

@@ -96,6 +96,20 @@ def test_extra_trees(spark):
     assert np.allclose(forest.counts[t, 2 * i + 1] + forest.counts[t, 2 * i + 2], forest.counts[t, i])
 
 
+def test_extra_trees_send_one_row_a_tree(spark):
+    from latewise.operators.models import extra_trees as E
+
+    df, names, x, _ = blobs(spark, classes=3)
+    xy = to_xy(df, "y", names)
+    rows = xy.select(E._vector(xy, "features").alias("x"), F.col("label").cast("int").alias("y")).repartition(6)
+    forest = E.Forest(np.full((9, 7), -1), np.zeros((9, 7)), np.zeros((9, 7, 3)))
+    chosen, open_nodes = np.tile(np.arange(2), (9, 1, 1)), np.ones((9, 1), dtype=bool)
+    low, high = ExtraTrees(n_trees=9)._ranges(rows, forest, 0, chosen, open_nodes)
+    assert np.allclose(low[:, 0], x[:, :2].min(axis=0)) and np.allclose(high[:, 0], x[:, :2].max(axis=0))
+    for seen in (open_nodes[:, 0], np.arange(9) < 4, np.zeros(9, dtype=bool)):
+        assert len(E._packed(low.ravel(), high.ravel(), chosen.shape, seen)) == seen.sum()
+
+
 def test_one_vs_rest_has_probabilities(spark):
     df, names, _, _ = blobs(spark, n=150, classes=3)
     xy = to_xy(df, "y", names)
