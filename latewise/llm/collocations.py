@@ -4,8 +4,9 @@ Text: A-Z lower-cased, pieces split at ``.,;:!?`` and line ends, words at blanks
 counted per language (null: ``und``) over all documents and whole texts.
 
 1. Words are counted. A word rarer than ``least`` cannot be part of a frequent phrase, so it ends a suffix.
-2. Every other position gives its suffix of up to ``longest`` words; equal ones are added up inside a block of texts.
-   Suffixes are routed by their two leading words, so a phrase meets all its occurrences in one task. Leading pairs that
+2. Every other position gives its suffix of up to ``longest`` words; equal ones are added up inside a block of texts, and
+   what a block has for one task travels as one compressed table. Suffixes are routed by their two leading words, so a
+   phrase meets all its occurrences in one task. Leading pairs that
    hold more than a 2048th of all words (so fewer than 2048) are routed by the whole suffix instead, and their shorter
    prefixes travel as rows of their own: each row says from which depth on it counts. No task gets a hot prefix whole.
 3. A task sorts pointers to its suffixes with a three-way multikey quicksort, one word a level. The weight of an equal
@@ -33,6 +34,8 @@ from latewise.llm.membership import filter_of, held
 from latewise.llm.work import written
 
 SEED = 42
+#: Odd factors of the hashes of a suffix's words by place.
+PLACES = np.random.default_rng(SEED).integers(0, 2**64, size=64, dtype=np.uint64) | np.uint64(1)
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER + b"\t.,;:!?\x0b\x0c\r", _LOWER + b" " + b"\n" * 9)
 
@@ -112,8 +115,14 @@ def _hash(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(head + w, SEED) for w in words), dtype=np.uint64, count=len(words))
 
 
-def suffix_rows(names: pa.Array, codes: np.ndarray, last: np.ndarray, known: np.ndarray, hot: set[str], longest: int) -> pa.Table:
-    """(suffix, n, from): distinct suffixes of two or more known words. A row counts for its prefixes of ``from`` or more words."""
+def suffix_rows(
+    names: pa.Array, codes: np.ndarray, last: np.ndarray, known: np.ndarray, hot: set[str], longest: int, hashes: np.ndarray
+) -> tuple[pa.Table, np.ndarray]:
+    """(suffix, n, begins) and routes: distinct suffixes of two or more known words, sorted by the codes of their words.
+
+    A row counts for its prefixes of ``begins`` or more words. Its route is a hash of the two leading words, or of all
+    words where it begins later.
+    """
     own = np.where(known[codes], codes, -1)
     after = np.append(own[1:], -1)
     after[last] = -1
@@ -138,13 +147,39 @@ def suffix_rows(names: pa.Array, codes: np.ndarray, last: np.ndarray, known: np.
             rows.append([*(table.column(k).to_numpy() for k in keys), table.column(f"{longest}_sum").to_numpy(),
                          np.full(len(table), depth)])
         *parts, n, begins = (np.concatenate(column) for column in zip(*rows))
+    order = np.lexsort(tuple(reversed(parts)))
+    parts, n, begins = [p[order] for p in parts], n[order], begins[order]
+    route = np.zeros(len(n), dtype=np.uint64)
+    for place, p in enumerate(parts):
+        used = (p >= 0) & ((begins > 2) | (place < 2))
+        route += np.where(used, hashes[np.maximum(p, 0)] * PLACES[place], 0).astype(np.uint64)
     words = [names.take(pa.array(p, mask=p < 0)) for p in parts]
     suffix = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-    return pa.table({"suffix": suffix, "n": pa.array(n.astype(np.int64)), "begins": pa.array(begins.astype(np.int32))})
+    table = pa.table({"suffix": suffix, "n": pa.array(n.astype(np.int64)), "begins": pa.array(begins.astype(np.int32))})
+    return table, route ^ (route >> np.uint64(32))
+
+
+_SUFFIXES = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("begins", pa.int32())])
 
 
-def _suffixes(docs: DataFrame, frequent: DataFrame, hot: set[tuple[str, str]], longest: int, block_chars: int) -> DataFrame:
-    """(lang, suffix, n, begins, route) of all documents."""
+def _packed(rows: pa.Table, part: np.ndarray) -> pa.RecordBatch:
+    """(part, rows): the rows of each part as one compressed table."""
+    order = np.argsort(part, kind="stable")
+    rows, part = rows.take(pa.array(order)), part[order]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, dtype=np.int64)
+    tables = []
+    for at, end in zip(starts, np.append(starts[1:], len(part))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _SUFFIXES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.slice(at, end - at).cast(_SUFFIXES))
+        tables.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(tables, pa.binary())], ["part", "rows"])
+
+
+def _suffixes(
+    docs: DataFrame, frequent: DataFrame, hot: set[tuple[str, str]], longest: int, block_chars: int, n_parts: int
+) -> DataFrame:
+    """(part, rows): suffixes of all documents, packed for the parts they are routed to."""
     tagged = frequent.select(F.xxhash64(F.concat_ws("\t", "lang", "word")).alias("h"))
     shared = docs.sparkSession.sparkContext.broadcast((filter_of(tagged, "h"), hot))
 
@@ -155,14 +190,13 @@ def _suffixes(docs: DataFrame, frequent: DataFrame, hot: set[tuple[str, str]], l
                 if not words.words:
                     continue
                 names, codes, last = words.coded()
-                known = held(bits, _hash(lang, names.cast(pa.binary()).to_pylist()))
-                rows = suffix_rows(names, codes, last, known, {p for l, p in hot_pairs if l == lang}, longest)
+                hashes = _hash(lang, names.cast(pa.binary()).to_pylist())
+                mine = {p for l, p in hot_pairs if l == lang}
+                rows, route = suffix_rows(names, codes, last, held(bits, hashes), mine, longest, hashes)
                 rows = rows.add_column(0, "lang", pa.array([lang] * len(rows), pa.string()))
-                yield from rows.combine_chunks().to_batches(max_chunksize=1 << 16)
+                yield _packed(rows, (route % np.uint64(n_parts)).astype(np.int64))
 
-    found = docs.mapInArrow(each, "lang string, suffix string, n long, begins int")
-    leading = F.when(F.col("begins") > 2, F.col("suffix")).otherwise(F.substring_index("suffix", " ", 2))
-    return found.withColumn("route", F.xxhash64("lang", leading))
+    return docs.mapInArrow(each, "part int, rows binary")
 
 
 def equal_partitions(
@@ -194,14 +228,14 @@ def equal_partitions(
             stack.append((equal, depth + 1))
 
 
-def phrase_counts(suffixes: DataFrame, least: int, longest: int, n_tasks: int) -> DataFrame:
+def phrase_counts(suffixes: DataFrame, least: int, longest: int, n_parts: int) -> DataFrame:
     """(lang, phrase, f) of the phrases of two or more words that occur ``least`` times or more."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.select(["lang", "suffix", "n", "begins"]) for b in batches]
-        if not parts:
+        tables = [pa.ipc.open_stream(r.as_buffer()).read_all() for b in batches for r in b.column("rows")]
+        if not tables:
             return
-        table = pa.Table.from_batches(parts).combine_chunks()
+        table = pa.concat_tables(tables).combine_chunks()
         langs = table.column("lang").combine_chunks().dictionary_encode()
         split = pc.split_pattern(table.column("suffix").combine_chunks(), " ")
         ends = split.offsets.to_numpy()
@@ -221,7 +255,7 @@ def phrase_counts(suffixes: DataFrame, least: int, longest: int, n_tasks: int) -
             pa.array([count for _, _, count in found], pa.int64()),
         ], ["lang", "phrase", "f"])
 
-    return suffixes.repartition(n_tasks, "route").mapInArrow(sort, "lang string, phrase string, f long")
+    return suffixes.repartitionById(n_parts, "part").mapInArrow(sort, "lang string, phrase string, f long")
 
 
 def _side(words: Column, start: Column, length: Column) -> Column:
@@ -276,10 +310,16 @@ def collocations(
     frequent = counts.filter(F.col("word").isNotNull() & ~F.col("pair")).select("lang", "word", F.col("n").alias("f"))
     # Each of these pairs holds at least an ``n_hot``-th of all words, so there are no more than that.
     hot = counts.filter(F.col("pair") & (F.col("n") * n_hot >= n_words)).select("lang", "word")
-    suffixes = _suffixes(docs, frequent, {(r["lang"], r["word"]) for r in hot.toLocalIterator()}, longest, block_chars)
-    phrases = phrase_counts(suffixes, least, longest, 1 + n_words // task_words)
+    n_parts = 1 + n_words // task_words
+    suffixes = _suffixes(docs, frequent, {(r["lang"], r["word"]) for r in hot.toLocalIterator()}, longest, block_chars, n_parts)
+    phrases = phrase_counts(suffixes, least, longest, n_parts)
     both = written(phrases.unionByName(frequent.withColumnRenamed("word", "phrase")))
     candidates = written(scored(both))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = not_inside_longer(candidates, percent).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # Ranked in salted parts of a language first, so that its last task sees no more than ``top`` rows of each.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    stays = not_inside_longer(candidates, percent).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(32)))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        stays = stays.withColumn("rank", rank).filter(F.col("rank") <= top)
+    ranked = stays.drop("salt")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -107,5 +107,7 @@ def test_quicksort_counts_prefixes():
 def test_suffixes_stop_at_rare_words_and_pieces():
     names = pa.array(["a", "b", "rare"])
     codes, last = np.array([0, 1, 0, 2, 0, 1, 0]), np.array([0, 0, 0, 0, 0, 1, 1], dtype=bool)
-    rows = C.suffix_rows(names, codes, last, np.array([True, True, False]), set(), 4)
+    hashes = np.arange(3, dtype=np.uint64)
+    rows, route = C.suffix_rows(names, codes, last, np.array([True, True, False]), set(), 4, hashes)
+    assert len(set(route[:2].tolist())) == 1 and len(route) == 3  # by the two leading words
     assert sorted(zip(rows.column("suffix").to_pylist(), rows.column("n").to_pylist())) == [("a b", 1), ("a b a", 1), ("b a", 1)]
