@@ -266,7 +266,7 @@ def _ends(convs: DataFrame, occurrences: DataFrame, per_part: int) -> DataFrame:
     return together.select("d1", "d2", "ids").mapInArrow(digest, "d1 long, d2 long, ends_sha256 string")
 
 
-def prefix_trie(convs: DataFrame, turns: DataFrame, crowd: int = 10_000, rows_per_shard: int = 200_000) -> DataFrame:
+def prefix_trie(convs: DataFrame, turns: DataFrame, crowd: int = 256, rows_per_shard: int = 200_000) -> DataFrame:
     """All nodes: conv_id (least member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     ``convs``: distinct conv_id, also those without turns; ``turns``: conv_id, place (from 1), a, b (hashes of the
