@@ -15,8 +15,8 @@ WITH p AS (
     SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
 )
 SELECT page_id, payload_bytes, payload_digest,
-    CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id != first_id THEN first_id END AS refers_to
+    CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
 

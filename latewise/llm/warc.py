@@ -11,8 +11,9 @@ hold those bytes too: a piece shorter than its Content-Length takes the followin
 Assembly: requests and metadata are joined to captures by their concurrent-to identifier; one nested row each.
 
 Null payloads are empty ones, null urls leave out the target; null page ids have no page-id field and come after any
-other id. Rows that repeat page id and payload are one capture with one record id and are assembled once. An empty
-table gives no rows, other columns are ignored.
+other id. Every row is a capture with record ids of its own, also rows that repeat others or have no page id; rows that
+repeat the page id of a response are responses too, and revisits refer to the first of them. An empty table gives no
+rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,35 +56,39 @@ def write_warc(
     target = F.col(url)
     for bad, code in ((" ", "%20"), ("\r", "%0D"), ("\n", "%0A"), ("\t", "%09")):
         target = F.replace(target, F.lit(bad), F.lit(code))
-    base = pages.select(
+    # Row numbers are written with the rows, so that a number stays the same whoever reads it.
+    base = written(pages.select(
         F.col(page_id).alias("page_id"), target.alias("url"), body.alias("body"),
         F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("digest"),
-    )
+        F.monotonically_increasing_id().cast("string").alias("row"),
+    ))
+    first = F.min_by(F.struct("page_id", "row"), F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")
     repeated = written(
-        base.filter(F.col("bytes") >= min_bytes).groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        base.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
     )
     page = F.col("page_id").cast("string")
     rows = base.join(repeated, "digest", "left").withColumns({
-        "again": F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")),
-        "capture": _record_id("capture", page, F.col("digest")),
+        "again": F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")),
+        "capture": _record_id("capture", page, F.col("digest"), F.col("row")),
     })
     http = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(END))
     common = [("WARC-Date", date), ("WARC-Target-URI", F.col("url"))]
     again = F.col("again")
     capture = _record([
         ("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", F.col("capture")), *common,
-        ("WARC-Refers-To", F.when(again, _record_id("capture", F.col("first_id").cast("string"), F.col("digest")))),
+        ("WARC-Refers-To", F.when(
+            again, _record_id("capture", F.col("first.page_id").cast("string"), F.col("digest"), F.col("first.row"))
+        )),
         ("WARC-Profile", F.when(again, F.lit(PROFILE))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("Content-Type", "application/http; msgtype=response"),
     ], F.when(again, http).otherwise(F.concat(http, F.col("body"))))
     request = _record([
-        ("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", page, F.col("digest"))), *common,
+        ("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", page, F.col("digest"), F.col("row"))), *common,
         ("WARC-Concurrent-To", F.col("capture")), ("Content-Type", "application/http; msgtype=request"),
     ], F.concat(F.lit("GET "), F.coalesce(F.col("url"), F.lit("/")), F.lit(" HTTP/1.1" + END)))
     metadata = _record([
-        ("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", page, F.col("digest"))), *common,
+        ("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", page, F.col("digest"), F.col("row"))), *common,
         ("WARC-Concurrent-To", F.col("capture")), ("Content-Type", "application/warc-fields"),
     ], F.concat(F.coalesce(F.concat(F.lit("page-id: "), page, F.lit(CRLF)), F.lit("")),
                 F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF)))
@@ -119,19 +124,23 @@ class _Parser:
             ("fields", pa.map_(pa.string(), pa.string())),
         ])
         held: list[bytes] = []
+        have = need = 0
         for batch in batches:
             out = []
             for piece in batch.column(0).to_pylist():
+                have += len(piece) + (len(MARK) if held else 0)
                 held.append(piece)
-                found, rest = self._complete(held[0] if len(held) == 1 else MARK.join(held))
-                out += found
-                held = [rest] if rest else []
+                # A long payload with many marks is joined once, when all its pieces are there.
+                if have >= need:
+                    found, rest, need = self._complete(held[0] if len(held) == 1 else MARK.join(held))
+                    out += found
+                    held, have = ([rest], len(rest)) if rest else ([], 0)
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if held:
             raise ValueError(f"a record ends before its Content-Length: {held[0][:200]!r}")
 
-    def _complete(self, raw: bytes) -> tuple[list[dict], bytes]:
-        """The complete records at the begin, and what is left of an incomplete one.
+    def _complete(self, raw: bytes) -> tuple[list[dict], bytes, int]:
+        """The complete records at the begin, what is left of an incomplete one, and the length that would complete it.
 
         The reader can miss a mark where its buffer ends amid blank lines, so a piece can hold several records.
         """
@@ -141,10 +150,10 @@ class _Parser:
             header = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split(CRLF))
             length = int(header["Content-Length"])
             if len(block) < length:
-                break
+                return found, raw, len(raw) - len(block) + length
             found.append(self._record(header, block[:length]))
             raw = block[length:].removeprefix(END.encode())
-        return found, raw
+        return found, raw, 0
 
     def _record(self, header: dict[str, str], block: bytes) -> dict:
         kind, payload, fields = header["WARC-Type"], None, None

@@ -2,11 +2,12 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from latewise.llm.chat import escape, format_chats, read_loss, read_turns, unescape
 from latewise.llm.sharding import rendezvous, shuffle_into_shards
-from latewise.llm.warc import MARK, assemble, read_warc, write_warc
+from latewise.llm.warc import END, MARK, assemble, read_warc, write_warc
 from latewise.session import work_dir
 
 CHATS = [
@@ -85,7 +86,7 @@ def test_warc_round_trip(spark):
     write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
     got = assemble(read_warc(spark, path)).collect()
     by_page = {(r.metadata.fields.get("page-id")): r for r in got}
-    assert len(got) == 9  # the rows that repeat page 6 and its payload are one capture
+    assert len(got) == len({r.capture_id for r in got}) == 10
     assert {k: r.response.type for k, r in by_page.items()} == {
         "1": "response", "3": "revisit", "2": "response", "4": "response", "5": "response", None: "response",
         "6": "response", "7": "revisit", "8": "response"}
@@ -98,6 +99,38 @@ def test_warc_round_trip(spark):
     assert by_page["3"].response.refers_to == by_page["1"].capture_id
 
 
+def test_every_row_is_a_capture(spark):
+    same = "same payload " * 20
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "b", "y"), (None, "c", "z"), (None, "d", "z"), (None, "c", same), (9, "e", same),
+            (4, "f", same), (4, "f", same), (None, None, same)]
+    df = spark.createDataFrame([(*r, 7, "digest") for r in rows], "page_id long, url string, html string, row int, digest string")
+    path = work_dir(spark)
+    write_warc(df.repartition(3), path)
+    got = assemble(read_warc(spark, path)).collect()
+    assert len(got) == 10
+    kinds = Counter((r.metadata.fields.get("page-id"), r.response.type) for r in got)
+    assert kinds == {("1", "response"): 2, ("2", "response"): 1, (None, "response"): 2, (None, "revisit"): 2, ("9", "revisit"): 1,
+                     ("4", "response"): 2}
+    firsts = {r.capture_id for r in got if r.metadata.fields.get("page-id") == "4"}
+    assert len({r.response.refers_to for r in got if r.response.type == "revisit"} - firsts) == 0
+    assert Counter(r.response.target for r in got) == Counter(u for _, u, _ in rows)
+
+
+def test_a_payload_of_many_marks_is_read_once():
+    from latewise.llm.warc import _Parser
+
+    block = b"head" + END.encode() + MARK * 20_000 + b"tail"
+    record = (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: {len(block)}" + END).encode() + block
+    pieces = (record + MARK + record.removeprefix(b"WARC/1.1\r\n")).split(MARK)
+    parser, calls = _Parser(True), []
+    complete = parser._complete
+    parser._complete = lambda raw: calls.append(len(raw)) or complete(raw)
+    batches = [pa.RecordBatch.from_arrays([pa.array(pieces[i : i + 999], pa.binary())], ["value"]) for i in range(0, len(pieces), 999)]
+    found = [r for b in parser(iter(batches)) for r in b.to_pylist()]
+    assert [bytes(r["payload"]) for r in found] == [block.partition(END.encode())[2]] * 2
+    assert len(calls) < 10 and sum(calls) < 5 * len(record)
+
+
 def test_warc_empty_table(spark):
     path = work_dir(spark)
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
