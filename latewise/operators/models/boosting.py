@@ -268,7 +268,8 @@ class GradientBoosting:
                 schema=_BEST_SCHEMA,
             )
 
-        n_tasks = min(sum(map(len, columns)) * width, blocks.sparkSession.sparkContext.defaultParallelism)
+        # A merging task for every 64 histograms, so that small levels do not pay for idle tasks.
+        n_tasks = min(1 + sum(map(len, columns)) * width // 64, blocks.sparkSession.sparkContext.defaultParallelism)
         parts = blocks.mapInArrow(partial, _PART).repartition(n_tasks, "tree", "node", "col")
         return parts.mapInArrow(merge, _BEST).collect()
 
