@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +19,21 @@ class Shape:
     Inputs are those words, ``hashed`` buckets for the others, and one mark for the begin of a text.
     """
 
-    classes: int = 32
-    members: int = 32
+    classes: int = 48
+    members: int = 48
     hidden: int = 16
     hashed: int = 512
 
+    @classmethod
+    def of(cls, distinct: int, total: int, most: int = 48, occurrences: int = 500) -> Shape:
+        """As many classes as members, about the square root of the distinct words, ``most`` at most: a token costs their sum.
+
+        There is one own word for every ``occurrences`` training tokens at most, so that each is learnt from enough of them.
+        """
+        words = max(1, min(distinct, total // occurrences))
+        side = min(most, max(4, math.isqrt(words - 1) + 1))
+        return cls(classes=side, members=side)
+
     @property
     def words(self) -> int:
         return self.classes * self.members
@@ -179,22 +190,26 @@ def score_texts(p: Params, shape: Shape, texts: list[np.ndarray], n_lanes: int =
 class Trainer:
     """Adagrad on windows of ``steps``; the state goes on, gradients stop at the window's begin.
 
-    The first ``warm_up`` updates are smaller, as the squares of few gradients say little. Long texts are learnt in
-    stretches, each from a fresh state, so lanes end nearly together; scoring carries the state through.
+    The first ``warm_up`` updates are smaller, as the squares of few gradients say little. The state is carried through
+    every text, however long.
     """
 
-    warm_up, stretch = 20, 2048
+    warm_up, least_lanes, most_steps = 20, 16, 64
 
     def __init__(self, p: Params, shape: Shape, rate: float = 0.2, n_lanes: int = 512, steps: int = 16) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
         self.seen = {k: np.full_like(v, 1e-6) for k, v in p.items()}
         self.shape, self.rate, self.n_lanes, self.steps, self.tokens = shape, rate, n_lanes, steps, 0
-        self.updates = 0
+        self.updates, self.full = 0, n_lanes * steps
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        texts = [t[at : at + self.stretch] for t in texts for at in range(0, len(t), self.stretch)]
+        # So many lanes that they end nearly together: a long text must not go on alone. Fewer lanes take longer windows.
+        sizes = [len(t) for t in texts]
+        n_lanes = min(self.n_lanes, max(self.least_lanes, sum(sizes) // max(sizes, default=1)))
+        steps = min(self.most_steps, max(self.steps, self.n_lanes * self.steps // n_lanes))
+        self.full = n_lanes * steps
         h = np.zeros((0, self.shape.hidden), dtype=np.float32)
-        for running, x, y, owner in windows(texts, self.shape, self.n_lanes, self.steps):
+        for running, x, y, owner in windows(texts, self.shape, n_lanes, steps):
             h = np.zeros((running, self.shape.hidden), np.float32) if not len(h) else h[:running]
             h = self._window(x, y, owner >= 0, h)
 
@@ -203,7 +218,7 @@ class Trainer:
         self.updates += 1
         states = _steps(p, x, self.shape.begin, h, keep)
         dh_real = _output_gradient(p, self.shape, states[real], y[real], grad)
-        full = self.n_lanes * self.steps  # windows in which few lanes still run count for less
+        full = self.full  # windows in which few lanes still run count for less
         self.tokens += len(dh_real)
         d_states = np.zeros_like(states)
         d_states[real] = dh_real

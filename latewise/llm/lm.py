@@ -5,8 +5,9 @@ run in tasks. The most frequent ``known`` words travel to the tasks with their c
 stay a table and are joined to the words that each text leaves open, so every count is exact.
 
 Training takes every training document once, in ``rounds`` parts (by hash). In a round each task goes on from the
-common parameters over its own documents; the results are averaged by tokens, as a grouped sum. The number of
-parameters is fixed.
+common parameters over its own documents; the results are averaged by tokens, piece by piece. Which documents a task
+has decides what it learns, so scores change a little with the partitions of the input. The words that the model tells
+apart grow with the distinct words, up to ``Shape.of``'s bound.
 
 The model predicts the class of the next token and, inside a class, the word. Words outside the model's own share the
 last class; there a word has the smoothed share (c + 0.1) / (n + 0.1 (v + 1)) of those words.
@@ -29,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latewise.llm.gru import Params, Shape, Trainer, flat, initial, score_texts, unflat
-from latewise.llm.work import written
+from latewise.llm.work import one_thread, written
 
 END, ADD, LIMIT = b"", 0.1, 200_000
 #: Texts are gathered to about this many tokens before a model runs over them: more fill the lanes more evenly.
 GATHER = 6_000_000
+#: Parameters that travel and are added up together.
+PIECE = 16_384
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -105,11 +108,12 @@ class Lexicon:
         return initial(self.shape, share, max(self.rest_total, 1) / max(self.total, 1))
 
 
-def build_lexicon(counts: DataFrame, known: int = 131_072, shape: Shape = Shape()) -> Lexicon:
+def build_lexicon(counts: DataFrame, known: int = 131_072, shape: Shape | None = None) -> Lexicon:
+    """The most frequent words; without a shape the model's own words grow with the number of distinct words."""
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(known).toArrow()
     words = [w.encode() for w in top["word"].to_pylist()]
-    return Lexicon(words, top["c"].to_numpy().astype(np.int64), row[0], row[1], shape)
+    return Lexicon(words, top["c"].to_numpy().astype(np.int64), row[0], row[1], shape or Shape.of(row[1], row[0]))
 
 
 class _Coder:
@@ -134,9 +138,10 @@ class _Coder:
         return codes, at[at >= 0], rare
 
 
-def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3, n_lanes: int = 512) -> Params:
+def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3, n_lanes: int = 512, task_tokens: int = 1_000_000) -> Params:
     """Parameters after every training document was taken once."""
     spark, params = training.sparkSession, lexicon.start()
+    one_thread(spark)
     part = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((lexicon, params))
@@ -146,22 +151,37 @@ def fit(training: DataFrame, lexicon: Lexicon, rounds: int = 3, n_lanes: int = 5
             coder, trainer = _Coder(lexicon), Trainer(start, lexicon.shape, n_lanes=n_lanes)
             for texts in _gathered(batches, lambda text: coder(tokens_of(text))[0]):
                 trainer.learn(texts)
-            values = flat(trainer.p)
+            values = flat(trainer.p).astype(np.float32)
+            pieces = [values[at : at + PIECE].tobytes() for at in range(0, len(values), PIECE)] if trainer.tokens else []
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.astype(np.float64) * trainer.tokens),
-                pa.array(np.full(len(values), trainer.tokens, dtype=np.int64)),
-            ], ["at", "value", "tokens"])
-
-        own = training.filter(part == k).select("text")
-        sums = own.mapInArrow(train, "at int, value double, tokens long").filter("tokens > 0").groupBy("at").agg(
-            (F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
-        if sums.num_rows:
-            values = np.empty(sums.num_rows)
-            values[sums["at"].to_numpy()] = sums["value"].to_numpy()
+                pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(pieces, pa.binary()),
+                pa.array(np.full(len(pieces), trainer.tokens, dtype=np.int64)),
+            ], ["piece", "values", "tokens"])
+
+        # Not more tasks than have ``task_tokens`` to learn from: each sends all parameters.
+        own = training.filter(part == k).select("text").coalesce(1 + lexicon.total // rounds // task_tokens)
+        found = own.mapInArrow(train, "piece int, values binary, tokens long").repartition("piece").mapInArrow(
+            _summed, "piece int, sums binary, tokens long").orderBy("piece").collect()
+        if found:
+            values = np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in found])
             params = unflat(values, params)
     return params
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each piece of the parameters: the sums of all tasks, weighted by tokens."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for piece, values, tokens in zip(*(batch.column(c).to_pylist() for c in ("piece", "values", "tokens"))):
+            own = held.setdefault(piece, [0.0, 0])
+            own[0] = own[0] + np.frombuffer(values, dtype=np.float32).astype(np.float64) * tokens
+            own[1] += tokens
+    yield pa.RecordBatch.from_arrays([
+        pa.array(list(held), pa.int32()), pa.array([sums.tobytes() for sums, _ in held.values()], pa.binary()),
+        pa.array([n for _, n in held.values()], pa.int64()),
+    ], ["piece", "sums", "tokens"])
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], code) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for batch in batches:
@@ -182,6 +202,7 @@ def score_documents(
     docs: DataFrame, counts: DataFrame, lexicon: Lexicon, params: Params, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score): log10 probabilities of every text by counts and by the model."""
+    one_thread(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, params))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,48 @@ def test_windows_and_lanes_do_not_change_a_score():
         assert np.allclose(gru.score_texts(p, shape, texts, lanes, steps), one, atol=1e-3)
 
 
+def scalar_score(p, shape, text):
+    """The log probability of one text, number by number."""
+    def sigmoid(v):
+        return 1 / (1 + math.exp(-v))
+
+    n, total = shape.hidden, 0.0
+    h, given = [0.0] * n, shape.begin
+    for y in text.tolist():
+        row = p["table"][given].tolist()
+        g = [sum(h[i] * float(p["recur"][i, j]) for i in range(n)) for j in range(3 * n)]
+        z = [sigmoid(row[j] + g[j]) for j in range(n)]
+        r = [sigmoid(row[n + j] + g[n + j]) for j in range(n)]
+        new = [math.tanh(row[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+        h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(n)]
+
+        def share(weights, bias, at):
+            logits = [sum(h[i] * float(w[i]) for i in range(n)) + float(b) for w, b in zip(weights, bias)]
+            return logits[at] - math.log(sum(map(math.exp, logits)))
+
+        c = min(y // shape.members, shape.classes)
+        total += share(p["to_class"].T, p["class_bias"], c)
+        if c < shape.classes:
+            total += share(p["to_word"][c], p["word_bias"][c], y - c * shape.members)
+        given = y
+    return total
+
+
+def test_scores_equal_a_scalar_forward_pass():
+    shape, rng = gru.Shape(4, 3, 5, 8), np.random.default_rng(7)
+    p = {k: v + rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in gru.initial(shape, np.full(12, 1 / 15), 0.2).items()}
+    texts = [rng.integers(0, 20, n).astype(np.int32) for n in (1, 40, 3, 17)]
+    got = gru.score_texts(p, shape, texts, n_lanes=3, steps=4)
+    assert np.allclose(got, [scalar_score(p, shape, t) for t in texts], atol=1e-3)
+
+
+def test_own_words_grow_with_the_distinct_ones():
+    sides = [gru.Shape.of(n, 10**12).classes for n in (0, 1, 100, 2_000, 2_304, 10**9)]
+    assert sides == [4, 4, 10, 45, 48, 48] and gru.Shape.of(2_000, 10**12).words >= 2_000
+    # Few tokens to learn from: fewer own words.
+    assert gru.Shape.of(10**9, 50_000).words == 100
+
+
 def _corpus():
     random.seed(3)
     words = [[f"{a}{i}" for i in range(30)] for a in "ab"]
