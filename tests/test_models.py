@@ -286,6 +286,39 @@ def test_decision_tree_equals_trying_every_cut(spark, buckets):
         DecisionTree().fit(frame.limit(0))
 
 
+@pytest.mark.parametrize("classes", [2, 4])
+def test_bounds_of_buckets_rule_out_no_best_cut(classes):
+    from latewise.operators.models.decision_tree import open_buckets, purities
+
+    rng = np.random.default_rng(classes)
+    for _ in range(200):
+        y = rng.integers(0, classes, 60)
+        bucket = np.sort(rng.integers(0, 8, 60))
+        hist = np.zeros((9, classes), dtype=np.int64)
+        np.add.at(hist, (bucket, y), 1)
+        total = hist.sum(axis=0)
+        left = np.cumsum(np.eye(classes, dtype=np.int64)[y], axis=0)[:-1]
+        worth = purities(left, total)
+        _, kept, bound, start = open_buckets(hist, np.ones(9, dtype=bool))
+        at = int(worth.argmax())
+        assert bucket[at] in kept and bound[list(kept).index(bucket[at])] >= worth[at] - 1e-9
+        assert (start == np.array([hist[:b].sum(axis=0) for b in kept])).all()
+
+
+def test_decision_tree_moves_few_values_where_columns_have_many(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 2))
+    y = (x[:, 0] + 0.2 * rng.normal(size=4000) > 0).astype(int)
+    frame = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], "features array<double>, label int")
+    moved = []
+    picked = DecisionTree._values
+    monkeypatch.setattr(DecisionTree, "_values", staticmethod(lambda *a: moved.append(picked(*a).count()) or picked(*a)))
+    model = DecisionTree(max_depth=2, buckets=64).fit(frame)
+    want = grown(x, y, 2, 2)
+    assert {n.node: (n.feature, n.threshold, n.counts) for n in model.nodes} == {i: (f, pytest.approx(t), c) for i, (f, t, c) in want.items()}
+    assert 0 < sum(moved) < 2 * x.size / 4
+
+
 def levels_frame(spark, n=400, classes=2, seed=9):
     """Few distinct values, so bins are exact."""
     rng = np.random.default_rng(seed)
