@@ -206,6 +206,26 @@ def test_linear_shap_is_exact(spark):
         assert sum(r["shap"]) + r["base"] == pytest.approx(float(x[int(r["row_key"])] @ w + b))
 
 
+def test_permutation_shap_moves_no_copies(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 2))
+    names = ["a", "b"]
+    frame = spark.createDataFrame([(f"k{i // 2}", float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(x)], "row_key string, a double, b double, label int")
+    model = DecisionTreeClassifier(maxDepth=2, seed=1).fit(to_xy(frame, "label", names))
+    background = x[:5]
+    # A row that repeats is explained once, rows that share a key each for itself.
+    explained = X.permutation_shap(model, frame.unionByName(frame), background, names)
+    plan = explained.table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    rows = explained.table.collect()
+    assert len(rows) == 160
+    for r in rows:
+        p = [np.mean([(v > 0) == r["class"] for v in part]) for part in (background[:, 0], [r["values"][0]])]
+        assert r["base"] == pytest.approx(p[0]) and r["shap"][0] == pytest.approx(p[1] - p[0]) and r["shap"][1] == 0
+
+
 def test_permutation_shap_adds_up(spark):
     df, names, _, _ = blobs(spark)
     xy = to_xy(df, "y", names, keep=["row_key"])
