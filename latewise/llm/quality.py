@@ -7,8 +7,7 @@ log(trusted share / raw share); it is kept if the score reaches ``threshold``. H
 amount of trusted text, so ``fit_threshold`` sets it from trusted documents that the counts left out (one in
 ``HOLD_OUT``, by hash): the ``passing`` share of those that meet the base rules reaches it.
 
-The trusted text is a documented bounded sample: the ``max_trusted`` labelled documents with the smallest hashes,
-whose ids are small enough to broadcast. The raw counts cover every document.
+Both counts and the threshold cover every document that is trusted; ``max_trusted`` bounds them only where it is given.
 
 Null texts have no words; texts of fewer than four bytes have no n-gram and score 0. Without any trusted document
 every score is 0; without a held-out one the threshold is ``THRESHOLD``. Repeated rows count each time; tables can be empty; other input columns are ignored.
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latewise.llm.text import utf8
+from latewise.llm.work import written
 
 N_GRAM, N_BUCKETS = 4, 65_536
 HOLD_OUT, THRESHOLD = 5, -0.15
@@ -88,13 +88,14 @@ def _add(total: np.ndarray, held: tuple[list, list]) -> None:
             blocks.clear()
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
-    """At most ``max_trusted`` ids whose labels all say quality 1 and toxic 0, by smallest hash."""
-    return (
+def trusted_ids(labels: DataFrame, max_trusted: int | None = None) -> DataFrame:
+    """All ids whose labels all say quality 1 and toxic 0, or the ``max_trusted`` with the smallest hashes."""
+    ids = (
         labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("toxic"))
-        .filter("quality = 1 AND toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).select("doc_id")
+        .filter("quality = 1 AND toxic = 0").select("doc_id")
     )
+    return ids if max_trusted is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
 
 
 def _held_out() -> Column:
@@ -102,13 +103,13 @@ def _held_out() -> Column:
 
 
 def fit_ratio(
-    docs: DataFrame, labels: DataFrame, max_trusted: int = 20_000, prior: float = 500_000, hold_out: bool = False
+    docs: DataFrame, labels: DataFrame, max_trusted: int | None = None, prior: float = 500_000, hold_out: bool = False
 ) -> np.ndarray:
     """The log ratio of each bucket (65,536 numbers, whatever the corpus); ``hold_out`` for ``fit_threshold``."""
     ids = trusted_ids(labels, max_trusted).withColumn("trusted", F.lit(True))
     if hold_out:
         ids = ids.filter(~_held_out())
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select(
+    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(
         "text", F.coalesce("trusted", F.lit(False)).alias("trusted")
     )
     counts = (
@@ -125,14 +126,30 @@ def fit_ratio(
 
 
 def fit_threshold(
-    docs: DataFrame, labels: DataFrame, ratio: np.ndarray, max_trusted: int = 20_000, passing: float = 0.99
+    docs: DataFrame, labels: DataFrame, ratio: np.ndarray, max_trusted: int | None = None, passing: float = 0.99
 ) -> float:
-    """The greatest score that the ``passing`` share of the held-out trusted documents reaches (a bounded sample)."""
-    held = docs.select("doc_id", "text").join(
-        F.broadcast(trusted_ids(labels, max_trusted).filter(_held_out())), "doc_id", "left_semi")
-    scores = score_quality(held, ratio).filter(~F.col("base_failed")).select("score").toArrow()["score"]
-    ordered = np.sort(scores.to_numpy())
-    return float(ordered[int((1 - passing) * len(ordered))]) if len(ordered) else THRESHOLD
+    """The greatest score that the ``passing`` share of the held-out trusted documents reaches; exact."""
+    held = docs.select("doc_id", "text").join(trusted_ids(labels, max_trusted).filter(_held_out()), "doc_id", "left_semi")
+    scores = written(score_quality(held, ratio).filter(~F.col("base_failed")).select("score"))
+    n = scores.count()
+    return nth_smallest(scores, int((1 - passing) * n)) if n else THRESHOLD
+
+
+def nth_smallest(scores: DataFrame, place: int, most: int = 10_000, cells: int = 1_000) -> float:
+    """The score at a place, from 0, of all in order: ranges are narrowed by counts until ``most`` scores are left."""
+    while True:
+        r = scores.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n")).first()
+        if r["low"] == r["high"]:
+            return float(r["low"])
+        if r["n"] <= most:
+            return float(np.sort(scores.toArrow()["score"].to_numpy())[place])
+        # The lowest score falls into the first cell and the highest into the last, so a range always shrinks.
+        cell = F.floor((F.col("score") - r["low"]) / (r["high"] - r["low"]) * cells)
+        for at, n in sorted((c["cell"], c["count"]) for c in scores.groupBy(cell.alias("cell")).count().collect()):
+            if place < n:
+                scores = scores.filter(cell == at)
+                break
+            place -= n
 
 
 def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:

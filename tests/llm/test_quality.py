@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from latewise.llm.quality import N_BUCKETS, base_counts, buckets, fit_ratio, fit_threshold, score_quality, trusted_ids
+from latewise.llm.quality import N_BUCKETS, base_counts, buckets, fit_ratio, fit_threshold, nth_smallest, score_quality, trusted_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,3 +106,18 @@ def test_threshold_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert fit_threshold(some, lab, fit_ratio(some, lab, hold_out=True)) == -0.15
+
+
+def test_every_trusted_document_counts(spark):
+    lab = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert trusted_ids(lab).count() == 20_500
+    some = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    assert fit_ratio(some, lab).any()
+
+
+def test_nth_smallest_without_collecting_all(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=800), np.full(300, 0.25), [1e9, -1e9]])
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double")
+    for place in (0, 11, 400, 600, len(values) - 1):
+        assert nth_smallest(scores, place, most=20, cells=10) == np.sort(values)[place]
