@@ -10,8 +10,9 @@ proposal inside a rule span, or after a word such as ``token =``, is positive, a
 out of its features. No rule span holds a spelled-out or a colon-separated address, and a corpus can lack signs, so
 each generator also has positives built by rule: the corpus's rule e-mails rewritten with "at" and "dot", and
 generated addresses, numbers and keys. Negatives are decoys built by rule (dates, amounts, versions, identifiers,
-hardware addresses, plain prose). The sample is bounded: the ``max_sample`` proposals and the ``n_built`` e-mails with
-the smallest hashes, ``n_built`` generated texts. A threshold is calibrated for each generator
+hardware addresses, plain prose). The trees and the thresholds see every positive proposal and every rule e-mail of the
+corpus; where there are more than ``max_sample`` and ``n_built`` of them, they weigh as much as so many together, so that
+the decoys, whose number is fixed, keep their weight. A threshold is calibrated for each generator
 on a held-out part: the smallest score from which the share of positives stays at ``precision`` or more; a generator
 without a held-out positive selects nothing.
 
@@ -276,13 +277,12 @@ def built(spark, n: int) -> DataFrame:
     return spark.range(n).select(F.pmod("id", F.lit(len(GENERATORS))).alias("doc_id"), _in_text(text))
 
 
-def spelled_out(proposed: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) as from ``built``: the n rule e-mails of the corpus with the smallest hashes, spelled out."""
-    emails = proposed.select(F.explode("emails").alias("email")).distinct()
-    least = emails.withColumn("id", F.xxhash64("email")).orderBy("id", "email").limit(n)
+def spelled_out(proposed: DataFrame) -> DataFrame:
+    """(doc_id, text) as from ``built``: all rule e-mails of the corpus, spelled out."""
+    emails = proposed.select(F.explode("emails").alias("email")).distinct().withColumn("id", F.xxhash64("email"))
     at, dot = (_pick([f" {x} ", f" {x} ", f"({x})", f" [{x}] "], 7) for x in ("at", "dot"))
     parts = F.split("email", "@")
-    return least.select(F.lit(list(GENERATORS).index("email")).cast("long").alias("doc_id"), _in_text(F.concat(
+    return emails.select(F.lit(list(GENERATORS).index("email")).cast("long").alias("doc_id"), _in_text(F.concat(
         F.get(parts, F.lit(0)), at, F.replace(F.get(parts, F.lit(1)), F.lit("."), dot))))
 
 
@@ -301,17 +301,26 @@ def find_personal_data(
     proposed = propose(docs, id_col, text_col)
     candidates = _exploded(proposed)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = candidates.filter("label = 1").orderBy("hash", "row", "start").limit(max_sample).drop("row")
+    sample = candidates.filter("label = 1").drop("row")
     negative = _exploded(propose(decoys(docs.sparkSession, n_decoys))).withColumn("label", F.lit(0.0)).drop("row")
-    made = propose(built(docs.sparkSession, n_built).unionByName(spelled_out(proposed, n_built)))
-    positive = _exploded(made.withColumn("proposals", F.filter("proposals", lambda p: p.generator == F.col("id"))))
-    positive = positive.withColumn("label", F.lit(1.0)).drop("row")
-    learned = written(vectors.transform(sample.unionByName(negative).unionByName(positive).select("generator", "label", "hash", *FEATURES)))
+
+    def positive(texts: DataFrame) -> DataFrame:
+        made = propose(texts)
+        own = _exploded(made.withColumn("proposals", F.filter("proposals", lambda p: p.generator == F.col("id"))))
+        return own.withColumn("label", F.lit(1.0)).drop("row")
+
+    parts = {"corpus": sample, "decoys": negative, "built": positive(built(docs.sparkSession, n_built)), "emails": positive(spelled_out(proposed))}
+    parts = [t.select("generator", "label", "hash", *FEATURES, F.lit(name).alias("part")) for name, t in parts.items()]
+    learned = written(vectors.transform(reduce(DataFrame.unionByName, parts)))
+    sizes = {r["part"]: r["count"] for r in learned.groupBy("part").count().collect()}
+    weights = {part: min(1.0, most / max(1, sizes.get(part, 0))) for part, most in (("corpus", max_sample), ("emails", n_built))}
+    weight = reduce(lambda w, part: w.when(F.col("part") == part, weights[part]), weights, F.when(F.lit(False), 1.0)).otherwise(1.0)
+    learned = learned.withColumn("weight", weight)
     held = F.pmod(F.xxhash64(F.lit(1), "hash"), F.lit(4)) == 0
     nothing = F.array().cast(f"array<{SPAN}>")
     if learned.filter(~held).select("label").distinct().count() < 2:
         return proposed.select("id", "rules", nothing.alias("added"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5, stepSize=0.3).fit(learned.filter(~held))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5, stepSize=0.3, weightCol="weight").fit(learned.filter(~held))
     score = vector_to_array("probability")[1]
     limits = _thresholds(model.transform(learned.filter(held)).withColumn("score", score), precision)
     chosen = (
@@ -331,11 +340,14 @@ def _plain(s: Column) -> Column:
 
 
 def _thresholds(scored: DataFrame, precision: float) -> DataFrame:
-    """(generator, least): the smallest score from which positives make up ``precision``; the sample is bounded."""
-    down = Window.partitionBy("generator").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    share = scored.withColumn("share", F.avg("label").over(down))
-    return share.filter((F.col("share") >= precision) & (F.col("label") == 1)).groupBy("generator").agg(
-        F.min("score").alias("least"))
+    """(generator, least): the smallest score from which positives make up ``precision`` by weight.
+
+    Equal scores are added up first; trees give few different ones, so no window sees the rows.
+    """
+    ends = scored.groupBy("generator", "score").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("label")).alias("p"))
+    down = Window.partitionBy("generator").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    share = ends.withColumn("share", F.sum("p").over(down) / F.sum("w").over(down))
+    return share.filter((F.col("share") >= precision) & (F.col("p") > 0)).groupBy("generator").agg(F.min("score").alias("least"))
 
 
 def as_text(spans: Column) -> Column:

@@ -82,3 +82,15 @@ def test_spelled_out_and_ipv6_addresses_are_selected_and_their_decoys_are_not(sp
         want = {i: ("", f"{kind}:4:{4 + len(x)}") for i, (kind, x) in personal.items()}
         want |= {100 + i: ("", "") for i in range(len(decoy))}
         assert {i: got[i] for i in want} == want
+
+
+def test_trees_and_thresholds_see_every_rule_email_and_score(spark):
+    from latewise.llm.pii import _thresholds, propose, spelled_out
+
+    mails = spark.createDataFrame([(i, f"write to u{i}@mail{i % 9}.example.com today") for i in range(4_100)], "doc_id long, text string")
+    assert spelled_out(propose(mails)).count() == 4_100
+    rows = [("phone", 0.9, 1.0, 0.5)] * 4 + [("phone", 0.8, 0.0, 1.0)] + [("phone", 0.7, 1.0, 0.5)] * 300 + [("ip", 0.9, 0.0, 1.0)]
+    scored = spark.createDataFrame(rows, "generator string, score double, label double, weight double")
+    # By weight 152 of 153 are positive down to 0.7, and the first four alone.
+    assert [tuple(r) for r in _thresholds(scored, 0.99).collect()] == [("phone", 0.7)]
+    assert [tuple(r) for r in _thresholds(scored, 0.995).collect()] == [("phone", 0.9)]
