@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 22
@@ -40,3 +41,15 @@ def held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each unsigned hash may be among those of ``filter_of``."""
     slot = hashes & np.uint64(8 * len(packed) - 1)
     return (packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def passes(df: DataFrame, column: str, *filters: np.ndarray) -> Column:
+    """Whether a row's hash may be in all of the filters of ``filter_of``; a null hash is in none. Only hashes go to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("boolean")
+    def both(hashes: pd.Series) -> pd.Series:
+        values = hashes.to_numpy().astype(np.int64).view(np.uint64)
+        return pd.Series(np.logical_and.reduce([held(packed, values) for packed in shared.value]))
+
+    return both(F.coalesce(F.col(column), F.lit(0).cast("long"))) & F.col(column).isNotNull()

@@ -8,6 +8,8 @@ amount of trusted text, so ``fit_threshold`` sets it from trusted documents that
 ``HOLD_OUT``, by hash): the ``passing`` share of those that meet the base rules reaches it.
 
 Both counts and the threshold cover every document that is trusted; ``max_trusted`` bounds them only where it is given.
+Texts stay where they are read: a membership filter of the trusted ids goes to the tasks, and what it lets through wrongly is
+counted again and taken off. Only the texts of those documents, or of ids that a second filter takes for theirs, move.
 
 Null texts have no words; texts of fewer than four bytes have no n-gram and score 0. Without any trusted document
 every score is 0; without a held-out one the threshold is ``THRESHOLD``. Repeated rows count each time; tables can be empty; other input columns are ignored.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latewise.llm.membership import filter_of, held, passes
 from latewise.llm.text import utf8
 from latewise.llm.work import written
 
@@ -58,28 +61,37 @@ def _texts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[int, np.nda
             yield first + i, raw[a:b]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, N_BUCKETS), dtype=np.int64)
-    held: tuple[list, list] = ([], [])
-    size = 0
-    for batch in batches:
-        trusted = batch.column("trusted").to_pylist()
-        for row, raw in _texts(batch):
-            for block in _blocks(raw):
-                held[trusted[row]].append(block)
-                size += len(block)
-                if size > 1 << 21:
-                    _add(total, held)
-                    size = 0
-    _add(total, held)
-    seen = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_pydict({
-        "bucket": pa.array(seen.astype(np.int32)), "raw": pa.array(total[0][seen]), "trusted": pa.array(total[1][seen])
-    })
-
-
-def _add(total: np.ndarray, held: tuple[list, list]) -> None:
-    for trusted, blocks in enumerate(held):
+def _counter(shared=None):
+    """Counts n-grams by bucket: of all texts, and of those whose hash passes the filter that is ``shared`` with the tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, N_BUCKETS), dtype=np.int64)
+        kept: tuple[list, list] = ([], [])
+        size = 0
+        for batch in batches:
+            passing = [False] * len(batch)
+            if shared is not None:
+                hashes = batch.column("hash")
+                inside = held(shared.value, hashes.fill_null(0).to_numpy().view(np.uint64))
+                passing = (inside & hashes.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for row, raw in _texts(batch):
+                for block in _blocks(raw):
+                    kept[passing[row]].append(block)
+                    size += len(block)
+                    if size > 1 << 21:
+                        _add(total, kept)
+                        size = 0
+        _add(total, kept)
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(seen.astype(np.int32)), "raw": pa.array(total[0][seen]), "trusted": pa.array(total[1][seen])
+        })
+
+    return count
+
+
+def _add(total: np.ndarray, kept: tuple[list, list]) -> None:
+    for trusted, blocks in enumerate(kept):
         if blocks:
             counts = np.bincount(np.concatenate(blocks), minlength=N_BUCKETS)
             total[0] += counts
@@ -102,23 +114,47 @@ def _held_out() -> Column:
     return F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(HOLD_OUT)) == 0
 
 
-def fit_ratio(
-    docs: DataFrame, labels: DataFrame, max_trusted: int | None = None, prior: float = 500_000, hold_out: bool = False
-) -> np.ndarray:
-    """The log ratio of each bucket (65,536 numbers, whatever the corpus); ``hold_out`` for ``fit_threshold``."""
-    ids = trusted_ids(labels, max_trusted).withColumn("trusted", F.lit(True))
-    if hold_out:
-        ids = ids.filter(~_held_out())
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(
-        "text", F.coalesce("trusted", F.lit(False)).alias("trusted")
-    )
+def _hashed(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and ids (written) with their ids in the wider of both types and a hash of it."""
+    kind = docs.select("doc_id").union(ids.select("doc_id")).schema["doc_id"].dataType
+    doc_id = F.col("doc_id").cast(kind).alias("doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("hash")
+    return docs.select(doc_id, "text").select("*", own), written(ids.select(doc_id).select("*", own))
+
+
+def wrongly_passed(docs: DataFrame, ids: DataFrame, packed: np.ndarray, bits: int) -> DataFrame:
+    """(text) of the documents that pass the filter of the ids but are not among them; only texts that pass a filter of those move."""
+    passing = docs.select("doc_id", "hash").filter(passes(docs, "hash", packed))
+    wrong = written(passing.distinct().join(ids, "doc_id", "left_anti"))
+    if wrong.isEmpty():
+        return docs.select("text").limit(0)
+    near = docs.filter(passes(docs, "hash", packed, filter_of(wrong, "hash", bits)))
+    return near.join(wrong.select("doc_id"), "doc_id", "left_semi").select("text")
+
+
+def _counts(rows: DataFrame, shared=None) -> np.ndarray:
     counts = (
-        marked.mapInArrow(_count, "bucket int, raw long, trusted long")
+        rows.mapInArrow(_counter(shared), "bucket int, raw long, trusted long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     )
     both = np.zeros((2, N_BUCKETS))
     for row, name in enumerate(("raw", "trusted")):
         both[row, counts["bucket"].to_numpy()] = counts[name].to_numpy()
+    return both
+
+
+def fit_ratio(
+    docs: DataFrame, labels: DataFrame, max_trusted: int | None = None, prior: float = 500_000, hold_out: bool = False, bits: int = 25
+) -> np.ndarray:
+    """The log ratio of each bucket (65,536 numbers, whatever the corpus); ``hold_out`` for ``fit_threshold``.
+
+    ``bits`` sets the size of the membership filters (2 to that power); smaller ones move more texts and change nothing else.
+    """
+    ids = trusted_ids(labels, max_trusted)
+    docs, ids = _hashed(docs, ids.filter(~_held_out()) if hold_out else ids)
+    packed = filter_of(ids, "hash", bits)
+    both = _counts(docs.select("text", "hash"), docs.sparkSession.sparkContext.broadcast(packed))
+    both[1] -= _counts(wrongly_passed(docs, ids, packed, bits))[0]
     if not both[1].any():
         return np.zeros(N_BUCKETS)
     raw = (both[0] + 1) / (both[0].sum() + N_BUCKETS)
@@ -126,11 +162,16 @@ def fit_ratio(
 
 
 def fit_threshold(
-    docs: DataFrame, labels: DataFrame, ratio: np.ndarray, max_trusted: int | None = None, passing: float = 0.99
+    docs: DataFrame, labels: DataFrame, ratio: np.ndarray, max_trusted: int | None = None, passing: float = 0.99, bits: int = 25
 ) -> float:
-    """The greatest score that the ``passing`` share of the held-out trusted documents reaches; exact."""
-    held = docs.select("doc_id", "text").join(trusted_ids(labels, max_trusted).filter(_held_out()), "doc_id", "left_semi")
-    scores = written(score_quality(held, ratio).filter(~F.col("base_failed")).select("score"))
+    """The greatest score that the ``passing`` share of the held-out trusted documents reaches; exact.
+
+    Documents that pass a filter of their ids are scored where they are read; ids and scores alone move.
+    """
+    docs, ids = _hashed(docs, trusted_ids(labels, max_trusted).filter(_held_out()))
+    near = docs.filter(passes(docs, "hash", filter_of(ids, "hash", bits))).select("doc_id", "text")
+    scored = score_quality(near, ratio).filter(~F.col("base_failed")).select(F.col("record.doc_id").alias("doc_id"), "score")
+    scores = written(scored.join(ids, "doc_id", "left_semi").select("score"))
     n = scores.count()
     return nth_smallest(scores, int((1 - passing) * n)) if n else THRESHOLD
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from latewise.llm.quality import N_BUCKETS, base_counts, buckets, fit_ratio, fit_threshold, nth_smallest, score_quality, trusted_ids
+from latewise.llm.quality import N_BUCKETS, base_counts, buckets, fit_ratio, fit_threshold, nth_smallest, score_quality, trusted_ids, wrongly_passed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,3 +121,22 @@ def test_nth_smallest_without_collecting_all(spark):
     scores = spark.createDataFrame([(float(v),) for v in values], "score double")
     for place in (0, 11, 400, 600, len(values) - 1):
         assert nth_smallest(scores, place, most=20, cells=10) == np.sort(values)[place]
+
+
+def test_texts_stay_where_they_are_read(spark):
+    from latewise.llm.membership import filter_of
+    from latewise.llm.quality import _hashed
+
+    docs = [(i, f"text number {i} " * 5) for i in range(400)] + [(None, "no id"), (7, "again"), (9, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 4)], "doc_id int, quality int, toxic int")
+    hashed, ids = _hashed(df, trusted_ids(lab))
+    moved = wrongly_passed(hashed, ids, filter_of(ids, "hash", 25), 25).count()
+    assert moved < 5  # all 403 texts were shuffled where ids were too many to broadcast
+    # Filters that let nearly everything through, or nothing wrong, give the same counts and the same threshold.
+    ratios = [fit_ratio(df, lab, prior=100, hold_out=True, bits=bits) for bits in (15, 25)]
+    packed = filter_of(ids, "hash", 15)
+    packed[:] = 255
+    assert wrongly_passed(hashed, ids, packed, 15).count() == 302
+    assert ratios[0].any() and np.array_equal(*ratios)
+    assert fit_threshold(df, lab, ratios[0], bits=15) == fit_threshold(df, lab, ratios[0])
