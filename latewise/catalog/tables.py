@@ -63,8 +63,9 @@ SELECT split, row_key, late, order_item_product_price FROM split_rows""")
 def split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines split, written with one folder per split, and every split read back."""
     from latewise.operators.split import stratified_split
+    from latewise.plans.binary import materialize
 
-    rows = order_items(spark, sf_dir, "row_key", "late", "order_item_product_price")
+    rows = materialize(order_items(spark, sf_dir, "row_key", "late", "order_item_product_price"), "lines", "zstd")
     path = f"{work_dir(spark)}/splits"
     write_splits(stratified_split(rows, "late", "row_key"), path)
     schema = "row_key string, late int, order_item_product_price double, split string"
