@@ -158,7 +158,8 @@ def feature_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stratified_split", f"""
 WITH {S.ORDER_ITEMS}, {S.split("order_items", "late", "row_key")} SELECT row_key, late, split FROM split_rows""")
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(order_items(spark, sf_dir, "row_key", "late"), "late", "row_key")
+    lines = materialize(order_items(spark, sf_dir, "row_key", "late"), "lines", "zstd")
+    return stratified_split(lines, "late", "row_key")
 
 
 _CONTENT = "md5(concat_ws('|', coalesce('=' || order_id, '~'), coalesce('=' || quantity, '~'), coalesce('=' || late, '~')))"

@@ -34,6 +34,14 @@ def test_query_matches_sql(spark, sf, name):
     assert sorted(repr(tuple(r)) for r in df.select(*[f"`{n}`" for n in names]).collect()) == expected
 
 
+def _optimized(spark, sf, name):
+    return entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_reads_lines_that_were_joined_once(spark, sf):
+    assert "Join" not in _optimized(spark, sf, "stratified_split")
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
