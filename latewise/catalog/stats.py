@@ -173,7 +173,8 @@ SELECT late, split, count(*) AS n, count(DISTINCT own_key) AS n_keys, min(own_ke
 def split_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that repeat get keys of their own, so the parts have their exact sizes."""
     rows = order_items(spark, sf_dir, "order_id", "quantity", "late")
-    rows = unique_key(rows, "own_key", ["order_id", "quantity", "late"])
+    rows = unique_key(rows, "own_key", ["order_id", "quantity", "late"]).select("late", "own_key")
+    rows = materialize(rows, "keyed", "zstd")
     return stratified_split(rows, "late", "own_key").groupBy("late", "split").agg(
         F.count("*").alias("n"), F.count_distinct("own_key").alias("n_keys"), F.min("own_key").alias("first_key"))
 

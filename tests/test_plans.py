@@ -42,6 +42,11 @@ def test_split_reads_lines_that_were_joined_once(spark, sf):
     assert "Join" not in _optimized(spark, sf, "stratified_split")
 
 
+def test_split_reads_keys_that_were_numbered_once(spark, sf):
+    plan = _optimized(spark, sf, "split_duplicate_keys")
+    assert "Join" not in plan and "Window" not in plan
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
