@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from itertools import combinations
 from math import factorial
@@ -74,6 +75,32 @@ def test_knn_with_few_rows_and_empty_leaves(spark):
         NearestNeighbours(key="id").fit(frame.limit(0))
 
 
+def test_knn_memory_is_bounded_where_all_rows_tie():
+    import tracemalloc
+
+    from latewise.operators.models.knn import MetricTree, _block_neighbours, _visit_batches
+
+    n, x = 1_000, np.ones(64)
+    query = pd.DataFrame({"key": range(n), "x": [x] * n})
+    train = pd.DataFrame({"key": [f"k{i:04d}" for i in reversed(range(n))], "x": [x] * n, "label": range(n)})
+    tracemalloc.start()
+    found = _block_neighbours(query, train, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6  # 1.6 GB where the coordinates of all pairs were held at once
+    assert len(found) == 3 * n and set(found["train_key"]) == {"k0000", "k0001", "k0002"} and set(found["label"]) == {999, 998, 997}
+
+    pivots = np.arange(300.0)[:, None]
+    leaves, balls = np.full(300, 1), np.full(18, 300.0)
+    tree = MetricTree.over(pivots)
+    tree = MetricTree(tree.outer, tree.inner, tree.begin, leaves, 0 * leaves, 0 * leaves, balls)
+    batch = pd.DataFrame({"key": range(n), "x": [np.zeros(1)] * n, "leaf": 7, "bound": np.inf})
+    parts = list(_visit_batches(tree, batch))
+    assert max(map(len, parts)) <= 16_384 and len(parts) > 1  # one frame of 299,000 rows before
+    visited = pd.concat(parts)
+    assert len(visited) == 299 * n and not visited.duplicated(["key", "leaf"]).any() and 7 not in set(visited["leaf"])
+
+
 def test_knn_votes(spark):
     rows = [(0, [0.0], 1), (1, [1.0], 0), (2, [9.0], 1)]
     frame = spark.createDataFrame(rows, "id long, features array<double>, label int")
