@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +43,18 @@ def held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def passing(packed: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    """Whether each signed hash may be in the filter; a null is not."""
+    inside = held(packed, hashes.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    return inside & hashes.is_valid().to_numpy(zero_copy_only=False)
+
+
 def passes(df: DataFrame, column: str, *filters: np.ndarray) -> Column:
     """Whether a row's hash may be in all of the filters of ``filter_of``; a null hash is in none. Only hashes go to Python."""
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("boolean")
-    def both(hashes: pd.Series) -> pd.Series:
-        values = hashes.to_numpy().astype(np.int64).view(np.uint64)
-        return pd.Series(np.logical_and.reduce([held(packed, values) for packed in shared.value]))
+    @F.arrow_udf("boolean")
+    def both(hashes: pa.Array) -> pa.Array:
+        return pa.array(np.logical_and.reduce([passing(packed, hashes) for packed in shared.value]))
 
-    return both(F.coalesce(F.col(column), F.lit(0).cast("long"))) & F.col(column).isNotNull()
+    return both(F.col(column))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latewise.llm.membership import filter_of, held, passes
+from latewise.llm.membership import filter_of, passes, passing
 from latewise.llm.text import utf8
 from latewise.llm.work import written
 
@@ -69,14 +69,10 @@ def _counter(shared=None):
         kept: tuple[list, list] = ([], [])
         size = 0
         for batch in batches:
-            passing = [False] * len(batch)
-            if shared is not None:
-                hashes = batch.column("hash")
-                inside = held(shared.value, hashes.fill_null(0).to_numpy().view(np.uint64))
-                passing = (inside & hashes.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            marked = [False] * len(batch) if shared is None else passing(shared.value, batch.column("hash")).tolist()
             for row, raw in _texts(batch):
                 for block in _blocks(raw):
-                    kept[passing[row]].append(block)
+                    kept[marked[row]].append(block)
                     size += len(block)
                     if size > 1 << 21:
                         _add(total, kept)
@@ -124,12 +120,13 @@ def _hashed(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def wrongly_passed(docs: DataFrame, ids: DataFrame, packed: np.ndarray, bits: int) -> DataFrame:
     """(text) of the documents that pass the filter of the ids but are not among them; only texts that pass a filter of those move."""
-    passing = docs.select("doc_id", "hash").filter(passes(docs, "hash", packed))
-    wrong = written(passing.distinct().join(ids, "doc_id", "left_anti"))
+    found = docs.select("doc_id", "hash").filter(passes(docs, "hash", packed))
+    wrong = written(found.distinct().join(ids, "doc_id", "left_anti"))
     if wrong.isEmpty():
         return docs.select("text").limit(0)
     near = docs.filter(passes(docs, "hash", packed, filter_of(wrong, "hash", bits)))
-    return near.join(wrong.select("doc_id"), "doc_id", "left_semi").select("text")
+    # Written, as a task that filters and counts would need two Python workers at a time.
+    return written(near.join(wrong.select("doc_id"), "doc_id", "left_semi").select("text"))
 
 
 def _counts(rows: DataFrame, shared=None) -> np.ndarray:
@@ -168,9 +165,11 @@ def fit_threshold(
 
     Documents that pass a filter of their ids are scored where they are read; ids and scores alone move.
     """
+    if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType:
+        docs = docs.filter(_held_out())  # the same hash on both sides
     docs, ids = _hashed(docs, trusted_ids(labels, max_trusted).filter(_held_out()))
-    near = docs.filter(passes(docs, "hash", filter_of(ids, "hash", bits))).select("doc_id", "text")
-    scored = score_quality(near, ratio).filter(~F.col("base_failed")).select(F.col("record.doc_id").alias("doc_id"), "score")
+    scored = score_quality(docs, ratio, only=filter_of(ids, "hash", bits)).filter(~F.col("base_failed"))
+    scored = scored.select(F.col("record.doc_id").alias("doc_id"), "score")
     scores = written(scored.join(ids, "doc_id", "left_semi").select("score"))
     n = scores.count()
     return nth_smallest(scores, int((1 - passing) * n)) if n else THRESHOLD
@@ -223,14 +222,20 @@ def _repeated(words: list[bytes]) -> int:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score_quality(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(record, counts, score, base_failed, kept): every row with its verdict; input columns are in ``record``."""
+def score_quality(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, only: np.ndarray | None = None) -> DataFrame:
+    """(record, counts, score, base_failed, kept): every row with its verdict; input columns are in ``record``.
+
+    With ``only``, a membership filter, rows whose column ``hash`` does not pass it are left out.
+    """
+    wanted = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
     weights = docs.sparkSession.sparkContext.broadcast(ratio)
     columns = [f.name for f in docs.schema.fields]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("record"), F.col("text").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(passing(wanted.value, batch.column("record").field("hash"))))
             mean, counts = np.zeros(len(batch)), []
             for row, raw in _texts(batch):
                 total = sum(float(weights.value[block].sum()) for block in _blocks(raw))
