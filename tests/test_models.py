@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from itertools import combinations
 from math import factorial
@@ -123,6 +124,29 @@ def test_extra_trees(spark):
     assert np.allclose(forest.counts[t, 2 * i + 1] + forest.counts[t, 2 * i + 2], forest.counts[t, i])
 
 
+def test_extra_trees_deal_out_the_rows_of_a_block():
+    """The rows of every open node, without a matrix of rows x trees."""
+    from latewise.operators.models import extra_trees as E
+
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(size=(500, 3)), 1), rng.integers(0, 3, 500).astype(np.int32)
+    feature = np.array([[0, 1, 2, -1, 2, 0, 1] + [-1] * 8, [2, -1, 0, -1, -1, 1, 1] + [-1] * 8])
+    threshold = np.round(rng.normal(size=feature.shape) / 4, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y)], ["x", "y"])
+    blocks = list(E._blocks(iter([batch.slice(0, 90), batch.slice(90)]), 128))
+    assert [len(labels) for _, labels in blocks] == [218, 128, 128, 26] and all((np.diff(labels) >= 0).all() for _, labels in blocks)
+    for level in range(4):
+        wanted = np.arange(2**level) % 3 != 1
+        for columns, labels in blocks:
+            part = np.stack(columns, axis=1)
+            node = E.Forest(feature, threshold, None).route(part, level) - (2**level - 1)
+            for t in range(2):
+                got = {i: np.arange(len(labels))[rows].tolist() for i, rows in E._open_rows(columns, feature[t], threshold[t], level, wanted)}
+                assert got == {i: np.flatnonzero(node[:, t] == i).tolist() for i in np.flatnonzero(wanted) if (node[:, t] == i).any()}
+    with pytest.raises(ValueError):
+        list(E._blocks(iter([pa.RecordBatch.from_arrays([pa.array([[1.0], [1.0, 2.0]]), pa.array([0, 1], pa.int32())], ["x", "y"])])))
+
+
 def test_extra_trees_send_one_row_a_tree(spark):
     from latewise.operators.models import extra_trees as E
 
