@@ -124,6 +124,19 @@ def test_extra_trees(spark):
     assert np.allclose(forest.counts[t, 2 * i + 1] + forest.counts[t, 2 * i + 2], forest.counts[t, i])
 
 
+@pytest.mark.parametrize("n_keys", [7, 900, 70_000, 5_000_000])
+def test_importance_forest_counts_cells(n_keys):
+    """Counted in place or sorted by radix, up to more than two times sixteen bits of (node, bin)."""
+    from latewise.operators.models import forest as R
+
+    rng = np.random.default_rng(n_keys)
+    key, classes, weight = rng.integers(0, n_keys, 700), rng.integers(0, 3, 700), rng.integers(1, 4, 700).astype(float)
+    key[:300] = n_keys - 1
+    found, sums = R._cells(key, classes, weight, n_keys, 3)
+    assert found.tolist() == np.unique(key).tolist()
+    assert sums.tolist() == [[weight[(key == k) & (classes == c)].sum() for c in range(3)] for k in found]
+
+
 def test_extra_trees_deal_out_the_rows_of_a_block():
     """The rows of every open node, without a matrix of rows x trees."""
     from latewise.operators.models import extra_trees as E
