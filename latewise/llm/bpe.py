@@ -102,6 +102,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pairs, self.find = ranks, pair_table(ranks), regex.compile(pattern).findall
+        self.token = {i: t for t, i in ranks.items()}.__getitem__
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -144,15 +145,24 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, ids) of every row."""
+        short, long = self._by_length(docs, id_col, text_col)
+        return self._encoded(short, ["id"]).unionByName(self._encode_long(long))
+
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, ids, decoded) of every row; texts of one chunk are encoded and their ids decoded by the same worker."""
+        short, long = self._by_length(docs, id_col, text_col)
+        return self._encoded(short, ["id"], decode=True).unionByName(self.decode(self._encode_long(long)))
+
+    def _by_length(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+        """Texts of one chunk (id, text) and longer ones (id, text, row)."""
         size = self.chunk + self.overlap
         given = docs.select(
             F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
             F.monotonically_increasing_id().alias("row"),
         )
-        short = self._encoded(given.filter(F.length("text") <= size).select("id", "text"), ["id"])
-        return short.unionByName(self._encode_long(given.filter(F.length("text") > size)))
+        return given.filter(F.length("text") <= size).select("id", "text"), given.filter(F.length("text") > size)
 
-    def _encoded(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+    def _encoded(self, rows: DataFrame, keys: list[str], decode: bool = False) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(self.ranks)
         pattern = self.pattern
 
@@ -164,12 +174,16 @@ class Tokenizer:
             if encoder.ranks != shared.value:
                 encoder = _ENCODERS[pattern] = Encoder(shared.value, pattern)
             for batch in _slices(batches):
-                ids = _lists([encoder(t) for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), ids], [*keys, "ids"])
+                ids = [encoder(t) for t in batch.column("text").to_pylist()]
+                cells, names = [*(batch.column(k) for k in keys), _lists(ids)], [*keys, "ids"]
+                if decode:
+                    cells.append(pa.array([b"".join(map(encoder.token, i.tolist())) for i in ids], pa.binary()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(cells, names)
             encoder.known.clear()  # the worker lives on for other operators' tasks
 
         shape = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
-        return rows.select(*keys, "text").mapInArrow(encode, f"{shape}ids array<int>")
+        return rows.select(*keys, "text").mapInArrow(encode, f"{shape}ids array<int>" + ", decoded binary" * decode)
 
     def _encode_long(self, docs: DataFrame) -> DataFrame:
         step, overlap, pattern = self.chunk, self.overlap, self.pattern

@@ -47,3 +47,16 @@ def test_empty_table_and_bad_overlap(spark):
     assert coder.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError, match="overlap"):
         Tokenizer(RANKS, PATTERN, 10, 10)
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(50, 20), (32_768, 1_024)])
+def test_round_trip_in_one_worker(spark, chunk, overlap):
+    """Ids and bytes as of both operators one after the other; a text of one chunk passes through one worker only."""
+    rows = _rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Tokenizer(RANKS, PATTERN, chunk, overlap).round_trip(df)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.id, list(r.ids), bytes(r.decoded)) for r in found.collect()), key=key) == sorted(
+        ((i, LIBRARY.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=key)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("MapInArrow encode")[1].count("MapInArrow decode") <= 1 and "MapInArrow decode" not in plan.split("MapInArrow encode")[0].split("Union")[0]
