@@ -114,62 +114,79 @@ def _steps(p: Params, inputs: np.ndarray, begin: int, h: np.ndarray, keep: list
     n = h.shape[1]
     given = p["table"][inputs]  # input -1 reads the begin mark's row and is never scored
     out = np.empty((len(inputs), *h.shape), dtype=np.float32)
+    carried = (inputs != begin).astype(np.float32)[:, :, None]
     for t in range(len(inputs)):
-        carried = (inputs[t] != begin).astype(np.float32)[:, None]
-        h = h * carried
+        h = h * carried[t]
         g = h @ p["recur"]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (given[t, :, : 2 * n] + g[:, : 2 * n]))
+        zr = given[t, :, : 2 * n] + g[:, : 2 * n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(given[t, :, 2 * n :] + r * g[:, 2 * n :])
+        new = r * g[:, 2 * n :]
+        new += given[t, :, 2 * n :]
+        np.tanh(new, out=new)
         if keep is not None:
-            keep.append((carried, h, g, z, r, new))
-        h = new + z * (h - new)
-        out[t] = h
+            keep.append((carried[t], h, g, z, r, new))
+        h = np.subtract(h, new, out=out[t])
+        h *= z
+        h += new
     return out
 
 
 def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sums by row. No logit comes near the bound; it only keeps float32 finite."""
-    e = np.exp(np.minimum(logits, 60, out=logits))
+    """Exponentials, in place of the logits, and their sums by row. No logit comes near the bound; it only keeps float32 finite."""
+    e = np.exp(np.minimum(logits, 60, out=logits), out=logits)
     return e, e @ np.ones(e.shape[1], dtype=e.dtype)
 
 
-def _by_class(shape: Shape, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The class of each target; and for each class of own words its rows and their members."""
+def _by_class(shape: Shape, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice, np.ndarray]]]:
+    """The class of each target; the rows sorted by class; and for each class of own words its part of them and the members."""
     group = np.minimum(y // shape.members, shape.classes)
     order = np.argsort(group.astype(np.int16), kind="stable")
     edges = np.searchsorted(group[order], np.arange(shape.classes + 1))
-    parts = [(c, order[edges[c] : edges[c + 1]]) for c in range(shape.classes) if edges[c] < edges[c + 1]]
-    return group, [(c, at, y[at] - c * shape.members) for c, at in parts]
+    order = order[: edges[-1]]
+    member = y[order] - group[order] * shape.members
+    parts = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return group, order, [(c, at, member[at]) for c, at in enumerate(parts) if at.start < at.stop]
 
 
 def _log_shares(p: Params, shape: Shape, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target (of its class alone for other words)."""
-    group, parts = _by_class(shape, y)
+    group, order, parts = _by_class(shape, y)
     logits = h @ p["to_class"] + p["class_bias"]
     score = logits[np.arange(len(y)), group] - np.log(_exp(logits)[1])
+    own, inside = h[order], np.empty(len(order), dtype=score.dtype)
     for c, at, member in parts:
-        logits = h[at] @ p["to_word"][c].T + p["word_bias"][c]
-        score[at] += logits[np.arange(len(at)), member] - np.log(_exp(logits)[1])
+        logits = own[at] @ p["to_word"][c].T
+        logits += p["word_bias"][c]
+        inside[at] = logits[np.arange(len(member)), member] - np.log(_exp(logits)[1])
+    score[order] += inside
     return score
 
 
 def _output_gradient(p: Params, shape: Shape, h: np.ndarray, y: np.ndarray, grad: Params) -> np.ndarray:
     """d loss / d h; the gradients of the output parameters are put into ``grad``."""
-    group, parts = _by_class(shape, y)
+    group, order, parts = _by_class(shape, y)
     share, total = _exp(h @ p["to_class"] + p["class_bias"])
     share /= total[:, None]
     share[np.arange(len(y)), group] -= 1
     dh = share @ p["to_class"].T
     grad["to_class"], grad["class_bias"] = h.T @ share, share.sum(axis=0)
     grad["to_word"], grad["word_bias"] = np.zeros_like(p["to_word"]), np.zeros_like(p["word_bias"])
+    sorted_h = h[order]
+    inside = np.empty_like(sorted_h)
     for c, at, member in parts:
-        own = h[at]
-        share, total = _exp(own @ p["to_word"][c].T + p["word_bias"][c])
+        own = sorted_h[at]
+        logits = own @ p["to_word"][c].T
+        logits += p["word_bias"][c]
+        share, total = _exp(logits)
         share /= total[:, None]
-        share[np.arange(len(at)), member] -= 1
-        dh[at] += share @ p["to_word"][c]
+        share[np.arange(len(member)), member] -= 1
+        np.matmul(share, p["to_word"][c], out=inside[at])
         grad["to_word"][c], grad["word_bias"][c] = share.T @ own, share.sum(axis=0)
+    dh[order] += inside
     return dh
 
 
@@ -222,20 +239,27 @@ class Trainer:
         self.tokens += len(dh_real)
         d_states = np.zeros_like(states)
         d_states[real] = dh_real
-        n, recur = self.shape.hidden, np.zeros_like(p["recur"])
+        n = self.shape.hidden
         d_given = np.empty((*x.shape, 3 * n), dtype=np.float32)
         back = np.zeros_like(h)
+        carried, before, g, z, r, new = map(np.stack, zip(*keep))
+        # What does not wait for the later steps is taken out of the loop: the factors of dh and of d_new.
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), g[:, :, 2 * n :] * r * (1 - r)
+        d_gates, turned = np.empty_like(d_given), np.ascontiguousarray(p["recur"].T)
         for t in range(len(x) - 1, -1, -1):
-            carried, before, g, z, r, new = keep[t]
-            dh = d_states[t] + back
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_given[t, :, :n] = dh * (before - new) * z * (1 - z)
-            d_given[t, :, n : 2 * n] = d_new * g[:, 2 * n :] * r * (1 - r)
-            d_given[t, :, 2 * n :] = d_new
-            dg = d_given[t].copy()
-            dg[:, 2 * n :] *= r
-            recur += before.T @ dg
-            back = (dh * z + dg @ p["recur"].T) * carried
+            dh = d_states[t]
+            dh += back
+            dg = d_gates[t]
+            d_new = np.multiply(dh, by_new[t], out=d_given[t, :, 2 * n :])
+            np.multiply(dh, by_z[t], out=dg[:, :n])
+            np.multiply(d_new, by_r[t], out=dg[:, n : 2 * n])
+            np.multiply(d_new, r[t], out=dg[:, 2 * n :])
+            back = dg @ turned
+            dh *= z[t]
+            back += dh
+            back *= carried[t]
+        d_given[:, :, : 2 * n] = d_gates[:, :, : 2 * n]
+        recur = before.reshape(-1, n).T @ d_gates.reshape(-1, 3 * n)
         grad["recur"] = recur
         for k, g in grad.items():
             self._step(k, slice(None), g / full)

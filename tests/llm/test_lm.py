@@ -140,3 +140,19 @@ def test_empty_tables(spark):
     assert score_documents(none, counts, lexicon, params).count() == 0
     row = score_documents(some, counts, lexicon, params).first()
     assert (row.n_tokens, row.n_known, row.base_score) == (3, 0, 0.0) and row.score < 0
+
+
+def test_targets_of_a_class_are_one_slice():
+    """Rows of a class lie together, so that no class gathers its own; others than own words are in none."""
+    shape = gru.Shape(classes=3, members=4, hidden=2, hashed=5)
+    y = np.array([11, 0, 5, 14, 3, 5, 12, 8], dtype=np.int32)
+    group, order, parts = gru._by_class(shape, y)
+    assert group.tolist() == [2, 0, 1, 3, 0, 1, 3, 2]
+    assert {c: (y[order[at]].tolist(), member.tolist()) for c, at, member in parts} == {
+        0: ([0, 3], [0, 3]), 1: ([5, 5], [1, 1]), 2: ([11, 8], [3, 0])}
+
+
+def test_exponentials_take_no_second_matrix():
+    logits = np.array([[0.0, 1.0], [2.0, 90.0]], dtype=np.float32)
+    e, total = gru._exp(logits)
+    assert e is logits and np.allclose(total, np.exp([[0, 1], [2, 60]]).sum(axis=1))
