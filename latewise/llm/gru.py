@@ -243,23 +243,29 @@ class Trainer:
         d_given = np.empty((*x.shape, 3 * n), dtype=np.float32)
         back = np.zeros_like(h)
         carried, before, g, z, r, new = map(np.stack, zip(*keep))
-        # What does not wait for the later steps is taken out of the loop: the factors of dh and of d_new.
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), g[:, :, 2 * n :] * r * (1 - r)
-        d_gates, turned = np.empty_like(d_given), np.ascontiguousarray(p["recur"].T)
+        # What does not wait for the later steps is taken out of the loop; products keep their order, and so their rounding.
+        new_z, new_sq, moved, new_r, gated = 1 - z, 1 - new * new, before - new, 1 - r, g[:, :, 2 * n :].copy()
+        recur, back_by = np.zeros_like(p["recur"]), p["recur"].T
+        d_gates = np.empty_like(d_given)
         for t in range(len(x) - 1, -1, -1):
             dh = d_states[t]
             dh += back
-            dg = d_gates[t]
-            d_new = np.multiply(dh, by_new[t], out=d_given[t, :, 2 * n :])
-            np.multiply(dh, by_z[t], out=dg[:, :n])
-            np.multiply(d_new, by_r[t], out=dg[:, n : 2 * n])
+            dg, d_new = d_gates[t], dh * new_z[t]
+            d_new *= new_sq[t]
+            d_z = dh * moved[t]
+            d_z *= z[t]
+            np.multiply(d_z, new_z[t], out=dg[:, :n])
+            d_r = d_new * gated[t]
+            d_r *= r[t]
+            np.multiply(d_r, new_r[t], out=dg[:, n : 2 * n])
             np.multiply(d_new, r[t], out=dg[:, 2 * n :])
-            back = dg @ turned
+            d_given[t, :, 2 * n :] = d_new
+            recur += before[t].T @ dg
+            back = dg @ back_by
             dh *= z[t]
             back += dh
             back *= carried[t]
         d_given[:, :, : 2 * n] = d_gates[:, :, : 2 * n]
-        recur = before.reshape(-1, n).T @ d_gates.reshape(-1, 3 * n)
         grad["recur"] = recur
         for k, g in grad.items():
             self._step(k, slice(None), g / full)
