@@ -1,14 +1,18 @@
 """Whole plans, plan shapes, streaming use and the registered queries against their SQL."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from latewise import session
+from latewise.catalog.modelling import unscaled
 from latewise.operators import curves, features
 from latewise.operators.models import score
 from latewise.operators.split import stratified_split
-from latewise.plans.binary import prepare_binary
+from latewise.plans.binary import engineered, engineered_table, materialize, prepare_binary
 from latewise.plans.five_class import prepare_five_class
 from latewise.sources.order_items import binary_predictions, order_items
 from latewise.sources.tables import to_xy
@@ -112,3 +116,45 @@ def test_projections_and_scoring_run_on_streams(spark, tmp_path):
     query = scored.writeStream.format("memory").queryName("scored").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("scored").count() == 20
+
+
+def _joined_last(df):
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    return plan.children().apply(1).toString()
+
+
+def test_customers_join_orders_before_lines(spark, sf):
+    assert "c_custkey" in _joined_last(order_items(spark, sf, "row_key", "late", "customer_segment", "product_name"))
+
+
+def test_engineered_rows_are_the_same_in_passes(spark, sf):
+    raw = order_items(spark, sf)
+    # Orders without an id and those with id 0 are one order once filled.
+    raw = raw.withColumn("order_id", F.when(F.col("order_id") % 7 == 0, None).when(F.col("order_id") % 7 == 1, 0).otherwise(F.col("order_id")))
+    whole, found = engineered(raw), engineered_table(raw, "engineered", pass_bytes=20_000)
+    assert found.columns == whole.columns
+    assert len({f.rsplit("-", 2)[0] for f in found.inputFiles()}) > 1
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    assert materialize(spark.range(1_000).repartition(3, "id"), "kept").count() == 1_000
+    written = {f for f in shuffled() - before if f.endswith(".data")}
+    # Counting what was written shuffles one short row; the rows' own shuffle had three partitions for each task.
+    assert sum(Path(disk.getFile(f).getPath()).stat().st_size for f in written) < 1_000
+
+
+def test_unscaled_lines_are_written_once(spark, sf):
+    before = len(session._MADE)
+    split = unscaled(spark, sf, "late", ["quantity", "tax"])
+    assert len(session._MADE) == before + 1
+    assert {p: rows.count() for p, rows in split.items()} == {"train": 4800, "val": 600, "test": 600}
