@@ -4,12 +4,14 @@ import pyarrow as pa
 import pytest
 from itertools import combinations
 from math import factorial
+from pathlib import Path
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.sql import functions as F
 
+from latewise import session
 from latewise.operators import explain as X
 from latewise.operators.models import DecisionTree, ExtraTrees, GradientBoosting, ImportanceForest, NearestNeighbours, fit_mlp, registry, score
 from latewise.operators.losses import cross_entropy
@@ -590,3 +592,27 @@ def test_decisions_and_waterfalls_need_no_join(spark):
     assert bars.select("row_key").distinct().count() == 40
     for table in (decided, bars):
         assert "Join" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("byte", [True, False])
+def test_boosting_counts_one_child_of_a_split(spark, monkeypatch, byte):
+    """Rows are counted for the smaller child alone, the other one is the rest; a level is a job of one stage."""
+    frame, x, y = levels_frame(spark, n=500, classes=3)
+    asked, counted, made = [], B._sums, len(session._MADE)
+    monkeypatch.setattr(B, "_sums", lambda rows, splits, level, nodes, *a: asked.append((level, len(nodes))) or counted(rows, splits, level, nodes, *a))
+    monkeypatch.setattr(B, "MAX_SENDERS", 24 if byte else 1)
+    model = GradientBoosting(n_trees=2, max_depth=3, n_classes=3, key="row_key", row_share=0.7, min_hess=1e-3, rewrite=1).fit(frame.repartition(5))
+    for level, nodes in asked:
+        assert nodes <= 3 * max(1, 2 ** (level - 1))
+    # Blocks are written anew after every round here; only the last ones stay.
+    assert sum(Path(at, "blocks").exists() for at in session._MADE[made:]) == 1
+    bins = B.bins_of(x, model.edges)
+    for trees in model.trees:
+        for tree in trees:
+            for node in np.flatnonzero(tree.feature >= 0):
+                left, right = 2 * node + 1, 2 * node + 2
+                assert tree.rows[left] + tree.rows[right] == tree.rows[node] and min(tree.rows[left], tree.rows[right]) > 0
+                assert tree.grad[left] + tree.grad[right] == pytest.approx(tree.grad[node])
+    dealt = B._dealt(np.ascontiguousarray(bins.T), model.trees[0][0].feature, model.trees[0][0].bin, 2, dict.fromkeys(range(3, 7)))
+    reached = model.trees[0][0].route(bins, 2)
+    assert {node: rows.tolist() for node, rows in dealt} == {n: np.flatnonzero(reached == n).tolist() for n in range(3, 7) if (reached == n).any()}
