@@ -126,7 +126,10 @@ def _joined_last(df):
 
 
 def test_customers_join_orders_before_lines(spark, sf):
-    assert "c_custkey" in _joined_last(order_items(spark, sf, "row_key", "late", "customer_segment", "product_name"))
+    wanted = ("row_key", "late", "customer_segment", "customer_country", "product_name", "latitude_src")
+    first, last = (order_items(spark, sf, *wanted, customers_first=on) for on in (True, False))
+    assert "c_custkey" in _joined_last(first) and "c_custkey" not in _joined_last(last)
+    assert first.dtypes == last.dtypes and sorted(map(repr, first.collect())) == sorted(map(repr, last.collect()))
 
 
 def test_engineered_rows_are_the_same_in_passes(spark, sf):
